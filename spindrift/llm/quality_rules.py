@@ -27,7 +27,7 @@ RULES: list[tuple[str, float | None, float | None]] = [
     ("stop_ratio", 0.02, None),  # stop words a word
     ("dup_line_ratio", None, 0.30),  # repeated lines a line
     ("repeat_ratio", None, 0.20),  # words in repeated windows a word
-    ("shout_ratio", None, 0.30),  # words that end in !! or are in capitals, a word
+    ("upper_ratio", None, 0.30),  # capital letters a character of words
 ]
 
 
@@ -55,16 +55,16 @@ def measures(text: Column) -> dict[str, Column]:
     """The measures of a text by name, each a column over ``__words`` and ``__lines``."""
     text = F.coalesce(text, F.lit(""))
     words, lines = F.col("__words"), F.col("__lines")
-    stop = F.array(*[F.lit(w) for w in sorted(set(STOP_WORDS))])
+    stop = sorted(set(STOP_WORDS))
     return {
         "n_words": F.size(words).cast("bigint"),
         "word_chars": F.length(F.array_join(words, "")).cast("bigint"),
-        "n_symbols": (F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]", ""))).cast("bigint"),
+        "n_symbols": F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("bigint"),
         "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("bigint"),
         "n_repeat_words": let(words, lambda w: repeated_words(w)).cast("bigint"),
         "n_lines": F.size(lines).cast("bigint"),
-        "n_stop": F.size(F.filter(words, lambda w: F.array_contains(stop, F.lower(w)))).cast("bigint"),
-        "n_shout": F.size(F.filter(words, lambda w: w.rlike(r"^\P{Ll}*\p{Lu}\P{Ll}*\p{Lu}\P{Ll}*$|!!$"))).cast("bigint"),
+        "n_stop": F.size(F.filter(words, lambda w: F.lower(w).isin(stop))).cast("bigint"),
+        "n_upper": F.length(F.regexp_replace(text, r"\P{Lu}+", "")).cast("bigint"),
     }
 
 
@@ -82,7 +82,7 @@ def quality_rules(docs: DataFrame, rules=None, detail: bool = False) -> DataFram
         "stop_ratio": per_word("n_stop"),
         "dup_line_ratio": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
         "repeat_ratio": per_word("n_repeat_words"),
-        "shout_ratio": per_word("n_shout"),
+        "upper_ratio": F.col("n_upper") / F.greatest(F.col("word_chars"), F.lit(1)),
     }
     failed = [
         (name, (F.lit(False) if least is None else value[name] < least) | (F.lit(False) if most is None else value[name] > most))
@@ -114,13 +114,13 @@ m AS (
          len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
          (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words,
          len(ls) AS n_lines, len(list_filter(ws, lambda x: lower(x) IN ({words}))) AS n_stop,
-         len(list_filter(ws, lambda x: regexp_matches(x, '^\P{{Ll}}*\p{{Lu}}\P{{Ll}}*\p{{Lu}}\P{{Ll}}*$|!!$'))) AS n_shout
+         length(regexp_replace(text, '\P{{Lu}}+', '', 'g')) AS n_upper
   FROM w LEFT JOIN cov ON w.doc_id = cov.doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
        NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND word_chars / greatest(n_words, 1) BETWEEN 1.5 AND 20
          AND n_symbols / greatest(n_words, 1) <= 0.10 AND n_stop / greatest(n_words, 1) >= 0.02
          AND n_dup_lines / greatest(n_lines, 1) <= 0.30 AND n_repeat_words / greatest(n_words, 1) <= 0.20
-         AND n_shout / greatest(n_words, 1) <= 0.30 AS kept
+         AND n_upper / greatest(word_chars, 1) <= 0.30 AS kept
 FROM m
 """

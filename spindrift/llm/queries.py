@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from spindrift.llm import decontaminate as _leaks
+from spindrift.llm import language as _language
 from spindrift.llm import line_dedup as _lines
 from spindrift.llm import packing as _packing
 from spindrift.llm import quality_rules as _rules
+from spindrift.llm import toxicity as _toxicity
 from spindrift.llm.common import table
 
 
@@ -15,6 +19,14 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines.apply_bitmaps(docs, _lines.line_dedup(docs), digest=True)
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _language.language_id(table(spark, sf_dir, "documents"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rules.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -23,6 +35,13 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packing.pack(_packing.token_pieces(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op8_quality_rules, op9_best_fit_packing)}
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = _leaks.contamination(docs, table(spark, sf_dir, "benchmark"))
+    items = F.array_sort(F.transform("hits", lambda h: h["item_id"]))
+    return found.select("doc_id", (F.size("hits") > 0).alias("contaminated"), items.alias("item_ids"), F.transform("hits", lambda h: h["edits"].cast("bigint")).alias("edits"))
+
+
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op4_language_id, op7_toxicity, op8_quality_rules, op9_best_fit_packing, op10_benchmark_decontamination)}
 
 ORACLES = {"op2_line_dedup": _lines.ORACLE_SQL, "op8_quality_rules": _rules.oracle_sql()}
