@@ -72,6 +72,9 @@ def banded_distance(item: np.ndarray, region: np.ndarray, first: int, width: int
     and end anywhere. Returns (limit + 1, -1) when no alignment is within it.
     """
     far = limit + 1
+    for j in range(max(0, first), min(first + width, len(region) - len(item)) + 1):
+        if region[j] == item[0] and np.array_equal(region[j : j + len(item)], item):
+            return 0, j + len(item)  # nothing is less
     k = np.arange(width + 1)
     at = first + k  # position j of the region, for row 0
     row = np.where((at >= 0) & (at <= len(region)), 0, far)
@@ -151,7 +154,7 @@ class Index:
         count = np.diff(np.append(first, len(key)))
         for r, c in zip(first, count):
             i, b = int(key[r, 0]), int(key[r, 1])
-            if c < self.need[i]:
+            if c < self.need[i] or (i in found and found[i][1] == 0):
                 continue
             e, m = int(self.edits[i]), int(self.size[i])
             low = b * (e + 1) - m  # the band's diagonals: low to low + 2 e + 1; alignments stray by e more

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.llm import decontaminate as _leaks
+from spindrift.llm import html_text as _html
 from spindrift.llm import language as _language
 from spindrift.llm import line_dedup as _lines
 from spindrift.llm import packing as _packing
@@ -23,6 +24,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _language.language_id(table(spark, sf_dir, "documents"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _html.html_text(table(spark, sf_dir, "pages"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -42,6 +47,6 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return found.select("doc_id", (F.size("hits") > 0).alias("contaminated"), items.alias("item_ids"), F.transform("hits", lambda h: h["edits"].cast("bigint")).alias("edits"))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op4_language_id, op7_toxicity, op8_quality_rules, op9_best_fit_packing, op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op4_language_id, op5_html_extraction, op7_toxicity, op8_quality_rules, op9_best_fit_packing, op10_benchmark_decontamination)}
 
 ORACLES = {"op2_line_dedup": _lines.ORACLE_SQL, "op8_quality_rules": _rules.oracle_sql()}
