@@ -29,6 +29,11 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once for each row, lambdas inside included."""
+    return F.transform(F.array(value), body)[0]
+
+
 def normalize(c) -> Column:
     """White space runs (Unicode) become one space, both ends are trimmed."""
     return F.trim(F.regexp_replace(col(c), r"(?U)\s+", " "))

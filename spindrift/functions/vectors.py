@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from spindrift.functions.text import col
+from spindrift.functions.text import col, let
 
 
 def dot(a, b) -> Column:
@@ -42,11 +42,14 @@ def is_finite(v) -> Column:
 
 def hash_bucket(token, dimensions: int) -> Column:
     """The first eight bytes of the token's SHA-256, little-endian, modulo ``dimensions``."""
-    h = F.sha2(col(token), 256)
-    total = F.lit(0).cast("bigint")
-    for i in range(8):
-        total = total + F.conv(F.substring(h, 2 * i + 1, 2), 16, 10).cast("bigint") * pow(256, i, dimensions)
-    return (total % dimensions).cast("int")
+
+    def total(h: Column) -> Column:
+        out = F.lit(0).cast("bigint")
+        for i in range(8):
+            out = out + F.conv(F.substring(h, 2 * i + 1, 2), 16, 10).cast("bigint") * pow(256, i, dimensions)
+        return (out % dimensions).cast("int")
+
+    return let(F.sha2(col(token), 256), total)
 
 
 def rerank_probability(yes, no) -> Column:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.functions.text import col
+from spindrift.functions.text import col, let
 from spindrift.functions.vectors import hash_bucket, normalize
 
 BATCH_ITEMS, BATCH_CHARS, BATCH_AREA, PAGE, BODY_CAP = 256, 200_000, 16_000_000, 512, 10_000
@@ -111,10 +111,9 @@ def hash_embed(df: DataFrame, text: str, dimensions: int, key: str = "unit_ix",
     Each row's tokens are hashed and counted in place, so nothing is shuffled.
     """
     buckets = F.transform(F.regexp_extract_all(F.col(text), F.lit(_HASH_TOKEN), F.lit(0)), lambda t: hash_bucket(t, dimensions))
-    counted = df.select(key, buckets.alias("b"))
-    vector = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.size(F.filter("b", lambda x: x == i)).cast("float"))
-    out = counted.select(key, vector.alias("embedding"))
-    return out.withColumn("embedding", normalize("embedding")) if normalized else out
+    count = lambda b: F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.size(F.filter(b, lambda x: x == i)).cast("float"))
+    out = df.select(key, let(buckets, count).alias("embedding"))
+    return out.withColumn("embedding", let(F.col("embedding"), lambda v: normalize(v))) if normalized else out
 
 
 class HashBackend:

@@ -41,30 +41,16 @@ def query_terms(query: str) -> dict[str, int]:
 def bm25(units: DataFrame, query: str, limit: int, columns=COLUMNS) -> DataFrame:
     """unit_ix, score of the best units; N and the average length are those of all units.
 
-    The scan keeps only the query's terms of each unit, so what is shuffled is one
-    row for each matching unit and term.
+    The scan keeps only the query's terms of each unit, so what is shuffled is at
+    most one row for each matching unit and term.
     """
     terms = query_terms(query)
     if not terms:
         return units.select("unit_ix", F.lit(0.0).alias("score")).limit(0)
     words = F.flatten(F.array(*[tokens(fold(F.coalesce(F.col(c), F.lit("")))) for c in columns]))
-    base = units.select("unit_ix", words.alias("ws"))
-    counts = base.select("unit_ix", F.size("ws").cast("bigint").alias("len"), *[_count(t).alias(f"tf{i}") for i, t in enumerate(terms)])
-    sums = [F.count_if(F.col(f"tf{i}") > 0).alias(f"n{i}") for i in range(len(terms))]
-    stats = counts.agg(F.count(F.lit(1)).alias("N"), F.avg("len").alias("avg_len"), *sums)
-    joined = counts.join(F.broadcast(stats), F.lit(True))  # one row of statistics
-    score, any_term = F.lit(0.0), F.lit(False)
-    for i, again in enumerate(terms.values()):
-        n, f = F.col(f"n{i}"), F.col(f"tf{i}")
-        idf = F.ln((F.col("N") - n + 0.5) / (n + 0.5))
-        idf = F.when(idf <= 0, 1e-6).otherwise(idf)
-        score = score + again * F.when(f > 0, idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))).otherwise(0.0)
-        any_term = any_term | (f > 0)
-    return joined.filter(any_term).select("unit_ix", score.alias("score")).orderBy(F.desc("score"), "unit_ix").limit(limit)
-
-
-def _count(term: str):
-    return F.size(F.filter("ws", lambda w: w == term))
+    asked = F.filter(words, lambda w: w.isin(list(terms)))
+    found = units.select("unit_ix", F.explode(asked).alias("term")).groupBy("term", "unit_ix").agg(F.count(F.lit(1)).alias("tf"))
+    return bm25_index(found, doc_stats(units, columns), query, limit)
 
 
 def bm25_index(postings_: DataFrame, stats: DataFrame, query: str, limit: int) -> DataFrame:
@@ -77,10 +63,10 @@ def bm25_index(postings_: DataFrame, stats: DataFrame, query: str, limit: int) -
         again = F.when(F.col("term") == t, k).otherwise(again)
     found = postings_.filter(F.col("term").isin(list(terms)))
     df = found.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    total = stats.agg(F.count(F.lit(1)).alias("N"), F.avg("len").alias("avg_len"))
+    total = stats.agg(F.count(F.lit(1)).alias("units"), F.avg("len").alias("avg_len"))
     # as many rows as the query has terms, and one
     rows = found.join(F.broadcast(df), "term").join(stats, "unit_ix").join(F.broadcast(total), F.lit(True))
-    idf = F.ln((F.col("N") - F.col("n") + 0.5) / (F.col("n") + 0.5))
+    idf = F.ln((F.col("units") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     idf = F.when(idf <= 0, 1e-6).otherwise(idf)
     part = again * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     return rows.groupBy("unit_ix").agg(F.sum(part).alias("score")).orderBy(F.desc("score"), "unit_ix").limit(limit)
