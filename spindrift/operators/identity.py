@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from spindrift.functions.ids import mint_entity, version_of
 
@@ -45,8 +46,13 @@ def assign_identity(prior: DataFrame, new: DataFrame) -> DataFrame:
     document's units are few.
     """
 
-    def run(key, old: pd.DataFrame, fresh: pd.DataFrame) -> pd.DataFrame:
-        rows = assign(_rows(old), [r | {"start_byte": int(r["start_byte"]), "end_byte": int(r["end_byte"])} for r in _rows(fresh)])
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
+    had = ["doc_id", "kind", "scope", "name", "normalized_body_hash", "entity_id", "start_byte", "end_byte"]
+    has = [c.split()[0] for c in NEW.split(", ")]
+    # one table with a mark: the two sides may come from one source, whose columns a cogroup would confuse
+    rows = prior.select(*had, F.lit(True).alias("is_prior")).unionByName(new.select(*has, F.lit(False).alias("is_prior")), allowMissingColumns=True)
 
-    return prior.groupBy("doc_id").cogroup(new.groupBy("doc_id")).applyInPandas(run, SCHEMA)
+    def run(both: pd.DataFrame) -> pd.DataFrame:
+        found = assign(_rows(both[both["is_prior"]]), [{k: r[k] for k in has} | {"start_byte": int(r["start_byte"]), "end_byte": int(r["end_byte"])} for r in _rows(both[~both["is_prior"]])])
+        return pd.DataFrame(found, columns=[c.split()[0] for c in SCHEMA.split(", ")])
+
+    return rows.groupBy("doc_id").applyInPandas(run, SCHEMA)
