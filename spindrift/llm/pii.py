@@ -93,8 +93,11 @@ def _base_holds(kind: str, m: Column) -> Column:
 _SPAN = "array<struct<kind:string,start:int,end:int,value:string,left:string,right:string>>"
 
 
-def find_spans(text: Column, kind: str, pattern: str) -> Column:
-    """All matches with their places and what stands around them."""
+def find_spans(text: Column, kind: str, pattern: str, holds=None) -> Column:
+    """The matches that hold (all without ``holds``) with their places and what stands around them.
+
+    The others are dropped on the way: texts full of numbers have many of them.
+    """
     parts = F.struct(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)).alias("m"), F.split(text, pattern, -1).alias("g"))
 
     def place(p: Column) -> Column:
@@ -105,7 +108,8 @@ def find_spans(text: Column, kind: str, pattern: str) -> Column:
                 F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), p["m"][k].alias("value"),
                 F.substr(p["g"][k], F.lit(-_AROUND), F.lit(_AROUND)).alias("left"), F.substr(p["g"][k + 1], F.lit(1), F.lit(_AROUND)).alias("right"),
             )
-            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+            more = F.concat(acc["out"], F.array(span))
+            return F.struct(end.alias("at"), (more if holds is None else F.when(holds(p["m"][k]), more).otherwise(acc["out"])).alias("out"))
 
         zero = F.struct(F.lit(0).alias("at"), F.from_json(F.lit("[]"), _SPAN).alias("out"))
         return F.when(F.size(p["m"]) == 0, zero["out"]).otherwise(F.aggregate(F.sequence(F.lit(0), F.size(p["m"]) - 1), zero, step)["out"])
@@ -132,12 +136,10 @@ def spans_of(docs: DataFrame) -> DataFrame:
     none = F.from_json(F.lit("[]"), _SPAN)
 
     def tried(kind: str, pattern: str, extra: bool) -> Column:
-        return F.when(_guard(text, kind, extra), find_spans(text, kind, pattern)).otherwise(none)
-
-    def held(kind: str, pattern: str) -> Column:
-        return F.filter(tried(kind, pattern, False), lambda s: _base_holds(kind, s["value"]))
+        holds = None if extra else lambda m: _base_holds(kind, m)
+        return F.when(_guard(text, kind, extra), find_spans(text, kind, pattern, holds)).otherwise(none)
 
-    base = F.concat(*[held(k, p) for k, p in BASE.items()])
+    base = F.concat(*[tried(k, p, False) for k, p in BASE.items()])
     extra = F.concat(*[tried(k, p, True) for k, p in EXTRA.items()])
     found = docs.select("doc_id", base.alias("base"), extra.alias("extra"))
     touch = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
