@@ -219,11 +219,12 @@ def test_language():
 
 
 def test_toxicity(spark, docs, empty):
-    good = [f"a calm and friendly note number {i}" for i in range(60)]
-    bad = [f"you total moron of a note number {i}" for i in range(60)]
+    good = [f"you total friend of note number {i}" for i in range(60)]
+    bad = [f"you total moron of note number {i}" for i in range(60)]
     m = X.fit(good + bad, [0] * 60 + [1] * 60)
     t = m.table()
-    assert m.score("what a moron he is", t) > 0.5 > m.score("what a friendly note", t)
+    assert m.score("you total moron of note 99", t) > 0.5 > m.score("you total friend of note 99", t)
+    assert m.score("what a moron he is", t) > m.score("what a friend he is", t)
     assert m.score(None, t) == m.score("", t) < 0.5
     labels = spark.createDataFrame([(1, 0), (2, 1), (99, 1), (None, 1), (5, None)], "doc_id bigint, toxic int")
     assert X.toxicity(docs, labels).count() == len(TEXTS) and X.toxicity(empty, labels.filter("false")).count() == 0
