@@ -91,26 +91,23 @@ def similar_pairs(vectors: DataFrame, threshold: float, block: int = 1024) -> Da
 def top_k_between(sources: DataFrame, targets: DataFrame, k: int, threshold: float) -> DataFrame:
     """For each source its k best targets, itself included if it is one; sources without any have a null row.
 
-    sources, targets: unit_ix, embedding (null for none). The smaller side's
-    blocks go to every task of the other up to ``BROADCAST_BYTES``.
+    sources, targets: unit_ix, embedding (null for none). Blocks of both sides
+    meet once and a task multiplies two matrices; a block pair keeps k targets of
+    each source, and those tied with the last.
     """
-    have = sources.filter(F.col("embedding").isNotNull())
-    blocks = _blocks(targets.filter(F.col("embedding").isNotNull()), 1024)
+    have = lambda d: d.filter(F.col("embedding").isNotNull() & F.col("unit_ix").isNotNull())
+    left, right = (_blocks(have(d), n).select(F.col("ids").alias(f"{c}i"), F.col("m").alias(f"{c}m")) for d, n, c in ((sources, 512, "l"), (targets, 4096, "r")))
 
     def run(batches):
         for t in batches:
-            out = [[], [], []]
-            for ids, vec, ri, rm in zip(*(t.column(i).to_pylist() for i in (0, 1, 3, 4))):
-                y = np.frombuffer(rm, "<f4").reshape(len(ri), -1).astype(np.float64)
-                s = y @ np.asarray(vec, np.float64)
-                order = np.lexsort((np.array(ri), -s))[:k]
-                order = order[s[order] >= threshold]
-                out[0] += [ids] * len(order)
-                out[1] += np.array(ri)[order].tolist()
-                out[2] += s[order].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["a", "b", "score"])
-
-    met = have.select("unit_ix", "embedding").join(blocks, F.lit(True)).mapInArrow(run, "a bigint, b bigint, score double")
+            for li, lm, ri, rm in zip(*(c.to_pylist() for c in t.columns)):
+                x, y = np.frombuffer(lm, "<f4").reshape(len(li), -1).astype(np.float64), np.frombuffer(rm, "<f4").reshape(len(ri), -1).astype(np.float64)
+                s = x @ y.T
+                least = np.partition(s, -k, axis=1)[:, -k] if len(ri) > k else np.full(len(li), -np.inf)
+                i, j = np.nonzero((s >= least[:, None]) & (s >= threshold))
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(li)[i]), pa.array(np.array(ri)[j]), pa.array(s[i, j])], names=["a", "b", "score"])
+
+    met = left.join(right, F.lit(True)).mapInArrow(run, "a bigint, b bigint, score double")
     order = Window.partitionBy("a").orderBy(F.desc("score"), "b")
     best = met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return sources.select(F.col("unit_ix").alias("a")).join(best, "a", "left")

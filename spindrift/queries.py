@@ -114,8 +114,7 @@ k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS ran
 SELECT src.unit_ix AS a, k.b, round(k.score, 6) + 0.0 AS score, k.rank::BIGINT AS rank FROM src LEFT JOIN k ON k.a = src.unit_ix AND k.rank <= 5""")
 def top_k_between(spark, sf_dir):
     units, vec = A.units(spark, sf_dir).select("unit_ix"), A.vectors(spark, sf_dir)
-    sources, targets = units.filter("unit_ix % 10 = 0").join(vec, "unit_ix", "left"), vec.filter("unit_ix % 3 = 0")
-    return ranking.top_k_between(sources, targets, 5, 0.1).select("a", "b", r6("score").alias("score"), F.col("rank").cast("bigint").alias("rank"))
+    return ranking.top_k_between(units.join(vec, "unit_ix", "left"), vec, 5, 0.1).select("a", "b", r6("score").alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
 @query("""WITH cut AS (SELECT vec_id, embedding[1:16]::DOUBLE[] AS e FROM embeddings), n AS (SELECT vec_id, list_transform(e, lambda x: (x / sqrt(list_inner_product(e, e)))::FLOAT)::DOUBLE[] AS e FROM cut),
