@@ -81,7 +81,7 @@ def merge_ranges(ranges) -> Column:
 
 
 def strip_ranges(text, ranges) -> Column:
-    """The text without the bytes of the ranges, which are clamped to its length."""
+    """The text without the bytes of the ranges, which are clamped to its length; what is left of a cut character becomes U+FFFD."""
     raw = F.encode(col(text), "UTF-8")
     kept = F.aggregate(
         merge_ranges(ranges),
@@ -92,7 +92,7 @@ def strip_ranges(text, ranges) -> Column:
         ),
     )
     rest = F.substr(raw, (kept["at"] + 1).cast("int"), F.greatest(F.octet_length(raw) - kept["at"], F.lit(0)).cast("int"))
-    return F.decode(F.concat(kept["out"], rest), "UTF-8")
+    return F.make_valid_utf8(F.concat(kept["out"], rest).cast("string"))
 
 
 def symbol_name(raw, depth: int = 8) -> Column:

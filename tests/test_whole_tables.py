@@ -1,5 +1,7 @@
 """Queries over whole tables, compared with brute force on small fixtures."""
 
+import hashlib
+
 import numpy as np
 
 from spindrift import queries as Q
@@ -25,3 +27,12 @@ def test_top_k_between_searches_every_vector(spark, tmp_path):
         want |= {(a, k): (b, round(s[b], 6)) for k, b in enumerate(np.argsort(-s)[:5].tolist(), 1) if s[b] >= 0.1}
     assert {k: b for k, (b, _) in got.items()} == {k: b for k, (b, _) in want.items()}
     assert all(abs(got[k][1] - s) < 2e-6 for k, (_, s) in want.items() if s is not None)
+
+
+MIXED = {0: "plain ascii text of some length", 1: "abéééééé and more é", 2: "é", 3: "", 4: "😀\nfn 😀 x\nß", 5: "€" * 300 + "\n😀" + "z" * 500, 6: None}
+
+
+def test_strip_ranges_cuts_bytes_of_every_text(spark, tmp_path):
+    documents(spark, tmp_path, {k: v or "" for k, v in MIXED.items()})
+    kept = lambda t: hashlib.sha256((t.encode()[:2] + t.encode()[9:]).decode("utf-8", "replace").encode()).hexdigest()
+    assert {r.unit_ix: r.kept for r in Q.strip_ranges(spark, str(tmp_path)).collect()} == {k: kept(v or "") for k, v in MIXED.items()}
