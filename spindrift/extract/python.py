@@ -7,8 +7,10 @@ parsers count otherwise, so thresholds don't carry over exactly.
 from __future__ import annotations
 
 import ast
+import bisect
 import hashlib
 import io
+import itertools
 import re
 import tokenize
 
@@ -16,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 MIN_NODES, MAX_CHARS = 10, 10_000
+#: Units in a batch of results.
+BATCH_UNITS = 1000
 
 SCHEMA = (
     "doc_id string, kind string, name string, scope string, start_byte bigint, end_byte bigint, start_line bigint, end_line bigint, body_node_count bigint, "
@@ -106,7 +110,7 @@ def extract(source: str, min_nodes: int = MIN_NODES, max_chars: int = MAX_CHARS)
             return None
         name = getattr(node, "name", "<anonymous>")
         first = body[0]
-        doc, gone = None, [r for r in notes if a <= r[0] < b]
+        doc, gone = None, notes[bisect.bisect_left(notes, (a,)) : bisect.bisect_left(notes, (b,))]
         if isinstance(first, ast.Expr) and isinstance(first.value, ast.Constant) and isinstance(first.value.value, str):
             literal = raw[off.at(first.lineno, first.col_offset) : off.at(first.end_lineno, first.end_col_offset)].decode()
             if re.match(r"[rRuU]?[\"']", literal):
@@ -130,7 +134,7 @@ def extract(source: str, min_nodes: int = MIN_NODES, max_chars: int = MAX_CHARS)
         calls = []
         for x in ast.walk(node):
             if isinstance(x, ast.Call):
-                callee = re.sub(r"\s+", "", ast.get_source_segment(source, x.func) or "")
+                callee = re.sub(r"\s+", "", raw[off.at(x.func.lineno, x.func.col_offset) : off.at(x.func.end_lineno, x.func.end_col_offset)].decode())
                 calls.append({"callee": callee, "snippet": lines[x.lineno - 1].strip()[:200], "line": x.lineno, "byte": off.at(x.lineno, x.col_offset)})
         return {
             "kind": "lambda" if isinstance(node, ast.Lambda) else "function", "name": name, "scope": ".".join(scope) or None, "start_byte": a, "end_byte": b,
@@ -179,9 +183,10 @@ def extract_units(documents: DataFrame, min_nodes: int = MIN_NODES, max_chars: i
 
     def run(batches):
         for b in batches:
-            rows = [u | {"doc_id": d} for d, t in zip(b.column(0).to_pylist(), b.column(1)) for u in extract(t.as_py() or "", min_nodes, max_chars)]
-            cols = [pa.array([r[f] for r in rows], t) for f, t in zip(fields, types)]
-            cols += [pa.array([r["representations"] for r in rows], rep), pa.array([r["references"] for r in rows], ref)]
-            yield pa.RecordBatch.from_arrays(cols, names=[*fields, "representations", "references"])
+            units = (u | {"doc_id": d} for d, t in zip(b.column(0).to_pylist(), b.column(1)) for u in extract(t.as_py() or "", min_nodes, max_chars))
+            while rows := list(itertools.islice(units, BATCH_UNITS)):
+                cols = [pa.array([r[f] for r in rows], t) for f, t in zip(fields, types)]
+                cols += [pa.array([r["representations"] for r in rows], rep), pa.array([r["references"] for r in rows], ref)]
+                yield pa.RecordBatch.from_arrays(cols, names=[*fields, "representations", "references"])
 
     return documents.select("doc_id", "content").mapInArrow(run, SCHEMA)

@@ -139,8 +139,10 @@ def without_declared_name(text, name) -> Column:
 
 
 def position_of_byte(text, byte) -> Column:
-    """0-based line and UTF-16 column of a byte offset."""
-    head = F.decode(F.substr(F.encode(col(text), "UTF-8"), F.lit(1), col(byte).cast("int")), "UTF-8")
+    """0-based line and UTF-16 column of a byte offset; a character that the offset cuts is counted whole."""
+    raw, at = F.encode(col(text), "UTF-8"), col(byte).cast("int")
+    cut = F.length(F.regexp_extract(F.hex(F.substr(raw, at + 1, F.lit(3))), "^(?:[89AB][0-9A-F])*", 0)) / 2
+    head = F.decode(F.substr(raw, F.lit(1), at + cut.cast("int")), "UTF-8")
     line = F.substring_index(head, "\n", -1)
     count = F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit("")))
     return F.struct(count.alias("line"), (F.octet_length(F.encode(line, "UTF-16LE")) / 2).cast("int").alias("column"))

@@ -282,9 +282,11 @@ def compress_query(spark, sf_dir):
 SELECT unit_ix, (length(head) - length(replace(head, chr(10), '')))::BIGINT AS line, length(string_split(head, chr(10))[-1])::BIGINT AS col FROM h""")
 def byte_positions(spark, sf_dir):
     u = A.units(spark, sf_dir)
-    at = F.octet_length(F.substring("content", 1, 200))
-    p = T.position_of_byte("content", at)
-    return u.select("unit_ix", p["line"].cast("bigint").alias("line"), p["column"].cast("bigint").alias("col"))
+    n = F.octet_length("content")
+    # after 200 characters, in the middle and at the end of the text
+    at = {"": F.octet_length(F.substring("content", 1, 200)), "middle_": (n / 2).cast("int"), "end_": n}
+    found = u.select("unit_ix", *[T.position_of_byte("content", x).alias(f"{k}p") for k, x in at.items()])
+    return found.select("unit_ix", *[F.col(f"{k}p")[x].cast("bigint").alias(f"{k}{y}") for k in at for x, y in (("line", "line"), ("column", "col"))])
 
 
 @query("""SELECT page_id, substr(trim(title), 1, 2000) AS hover FROM (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages) WHERE trim(title) <> ''""")
@@ -666,9 +668,9 @@ def embed_pending(spark, sf_dir):
 
 @query()
 def extract_python(spark, sf_dir):
-    """Programs made of the documents: their words become names, so every document is a source file."""
+    """Programs made of the documents: each of a text's words becomes a function, so every document is a source file."""
     word = F.regexp_extract_all(F.regexp_replace(F.lower("text"), "[^a-z\\s]", ""), F.lit("[a-z]{3,}"), F.lit(0))
-    names = F.transform(F.slice(word, 1, 3), lambda w: F.concat(F.lit("f_"), w))
+    names = F.transform(word, lambda w: F.concat(F.lit("f_"), w))
     body = F.transform(names, lambda n: F.concat(F.lit("def "), n, F.lit('(a, b):\n    """About '), n, F.lit('."""\n    # sum\n    total = a + b * 2\n    return print(total, sorted([a, b]))\n')))
     docs = A.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.array_join(body, "\n").alias("content"))
     return extract_units(docs).select("doc_id", "kind", "name", "scope", "start_byte", "end_byte", "body_node_count", F.size("representations").alias("n_representations"), F.size("references").alias("n_references"))

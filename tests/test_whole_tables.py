@@ -36,3 +36,29 @@ def test_strip_ranges_cuts_bytes_of_every_text(spark, tmp_path):
     documents(spark, tmp_path, {k: v or "" for k, v in MIXED.items()})
     kept = lambda t: hashlib.sha256((t.encode()[:2] + t.encode()[9:]).decode("utf-8", "replace").encode()).hexdigest()
     assert {r.unit_ix: r.kept for r in Q.strip_ranges(spark, str(tmp_path)).collect()} == {k: kept(v or "") for k, v in MIXED.items()}
+
+
+def position(text, byte):
+    head, n = "", 0
+    for c in text:
+        if n >= byte:
+            break
+        head, n = head + c, n + len(c.encode())
+    return head.count("\n"), len(head.rpartition("\n")[2].encode("utf-16-le")) // 2
+
+
+def test_byte_positions_reach_the_end_of_the_text(spark, tmp_path):
+    documents(spark, tmp_path, {k: v or "" for k, v in MIXED.items()})
+    got = {r.unit_ix: ((r.line, r.col), (r.middle_line, r.middle_col), (r.end_line, r.end_col)) for r in Q.byte_positions(spark, str(tmp_path)).collect()}
+    size = lambda t: len(t.encode())
+    assert got == {k: tuple(position(t, at) for at in (size(t[:200]), size(t) // 2, size(t))) for k, t in ((k, v or "") for k, v in MIXED.items())}
+
+
+def test_extract_python_takes_every_word(spark, tmp_path):
+    word = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4))
+    texts = {0: " ".join(word(i) for i in range(1500)), 1: "One two, three four five.", 2: "a b", 3: ""}
+    documents(spark, tmp_path, texts)
+    rows = Q.extract_python(spark, str(tmp_path)).orderBy("doc_id", "start_byte").collect()
+    assert [r.name for r in rows if r.doc_id == "0"] == [f"f_{word(i)}" for i in range(1500)]
+    assert [r.name for r in rows if r.doc_id == "1"] == ["f_one", "f_two", "f_three", "f_four", "f_five"]
+    assert {(r.n_representations, r.n_references) for r in rows} == {(7, 2)} and {r.doc_id for r in rows} == {"0", "1"}
