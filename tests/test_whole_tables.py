@@ -62,3 +62,18 @@ def test_extract_python_takes_every_word(spark, tmp_path):
     assert [r.name for r in rows if r.doc_id == "0"] == [f"f_{word(i)}" for i in range(1500)]
     assert [r.name for r in rows if r.doc_id == "1"] == ["f_one", "f_two", "f_three", "f_four", "f_five"]
     assert {(r.n_representations, r.n_references) for r in rows} == {(7, 2)} and {r.doc_id for r in rows} == {"0", "1"}
+
+
+def test_usage_lines_take_every_line_item(spark, tmp_path):
+    parts = [(i, f"B{i % 2}", f"T{i % 7}", i % 3) for i in range(1, 61)]
+    items = [(o, (o * 7 + n * 3) % 60 + 1, n) for o in range(40) for n in range(1, 5)]
+    write(spark, tmp_path, "part", parts, "p_partkey bigint, p_brand string, p_type string, p_size int")
+    write(spark, tmp_path, "lineitem", items, "l_orderkey bigint, l_partkey bigint, l_linenumber int")
+    name, brand = {p: f"{t}_{z}" for p, _, t, z in parts}, {p: b for p, b, _, _ in parts}
+    lines = {}
+    for o, p, _ in items:
+        for d in name:
+            if brand[d] == brand[p] and name[d] == name[p % 50 + 1] and d != p:
+                lines.setdefault(d, set()).add(f"{name[p]}: call {o % 5}")
+    want = {(d, hashlib.sha256("\n".join(sorted(x)).encode()).hexdigest(), len(x)) for d, x in lines.items()}
+    assert {(r.unit_ix, r.content_hash, r.n_lines) for r in Q.usage_lines(spark, str(tmp_path)).collect()} == want
