@@ -1,7 +1,7 @@
 """A corpus pipeline of five stages over ``documents``.
 
 Toxic documents go; lines that an earlier document holds go from the others'
-texts (n_chars follows the text); of each group of near copies the document with
+texts (n_chars follows the text); of each group of near copies the row with
 the smallest id stays; documents that hold a benchmark passage go; what is left
 is packed into training sequences. Every stage works on all that its predecessor
 kept, and all but the last return the columns of ``documents``.
@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spindrift.llm import decontaminate as leaks
@@ -34,14 +34,25 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str, broadcast_rows: int = 2_000_000) -> DataFrame:
-    """One document of each group of near copies stays, the one with the smallest id.
+    """One row of each group of near copies stays, that of the smallest id (null ids last).
 
-    The ids to drop are counted and broadcast up to ``broadcast_rows`` of them,
-    joined by a shuffle beyond.
+    Rows are told apart by a 64-bit hash of id and text, so neither a null nor a
+    repeated id stands for another row; of rows equal in both one stays. The
+    rows to drop or to thin are counted and broadcast up to ``broadcast_rows`` of
+    them, joined by a shuffle beyond.
     """
-    groups = jaccard.jaccard_join(docs)
-    gone = checkpointed(groups.filter("doc_id IS NOT NULL AND NOT component_id <=> doc_id").select("doc_id"))
-    return docs.join(F.broadcast(gone) if gone.count() <= broadcast_rows else gone, "doc_id", "left_anti").select(*docs.columns)
+    keyed = docs.withColumn("__row", F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.coalesce("text", F.lit(""))))
+    groups = jaccard.jaccard_join(keyed.select(F.col("__row").alias("doc_id"), "text"))
+    near = checkpointed(groups.filter("n_similar > 0").select(F.col("doc_id").alias("__row"), F.col("component_id").alias("__group")).distinct())
+    rows = checkpointed(keyed.groupBy("__row").agg(F.min("doc_id").alias("__id"), F.count(F.lit(1)).alias("__n")))
+    grouped = rows.join(near, "__row")
+    first = grouped.groupBy("__group").agg(F.min(F.struct(F.col("__id").isNull().alias("x"), "__id", "__row"))["__row"].alias("__first"))
+    gone = grouped.join(first, "__group").filter("__row <> __first").select("__row", F.lit(True).alias("__gone"))
+    marks = checkpointed(rows.join(gone, "__row", "left").filter("__gone OR __n > 1").select("__row", F.coalesce("__gone", F.lit(False)).alias("__gone")))
+    told = keyed.join(F.broadcast(marks) if marks.count() <= broadcast_rows else marks, "__row", "left")
+    order = Window.partitionBy("__row", "doc_id", "text").orderBy(F.to_json(F.struct(*docs.columns)))
+    thinned = told.filter("NOT __gone").withColumn("__k", F.row_number().over(order)).filter("__k = 1")
+    return told.filter("__gone IS NULL").select(*docs.columns).union(thinned.select(*docs.columns))
 
 
 def drop_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +73,7 @@ STAGES = [
     ("best_fit_packing", pack_sequences),
 ]
 
-#: SQL can express neither the fitted classifier nor the packing; the tests compare with a brute-force version.
+#: SQL can express neither the fitted classifier nor the packing; the tests compare the near-copy stage with a brute-force version.
 ORACLE_SQL = None
 
 

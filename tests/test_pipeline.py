@@ -1,0 +1,39 @@
+"""Stages of the corpus pipeline, compared with brute force."""
+
+from collections import Counter
+
+import corpus_pipeline as P
+
+
+def shingles(text):
+    w = (text or "").lower().split()
+    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def one_of_each(rows):
+    """Which (doc_id, text) stay: one row of each component."""
+    rows = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+    sets, group = [shingles(t) for _, t in rows], list(range(len(rows)))
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if x and y and len(x & y) >= 0.8 * len(x | y):
+                group = [group[j] if g == group[i] else g for g in group]
+    seen, kept = set(), []
+    for r, g in zip(rows, group):
+        if g not in seen:
+            kept.append(r)
+        seen.add(g)
+    return Counter(kept)
+
+
+def test_near_copies_with_repeated_and_null_ids(spark):
+    text = lambda c: " ".join(f"{c}{i}" for i in range(60))
+    rows = [(1, text("a")), (1, text("a")), (2, text("a") + " more"), (3, text("b")), (3, text("a") + " again"), (4, text("b")), (5, ""), (6, ""), (7, None), (8, "short one")]
+    rows += [(None, text("c"))] * 4 + [(None, text("d")), (None, text("b")), (9, text("e")), (9, text("f")), (9, "short one")]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id bigint, text string, lang string")
+    out = P.drop_near_copies(spark, docs, "")
+    assert out.columns == docs.columns
+    got = Counter((r.doc_id, r.text) for r in out.collect())
+    assert got == one_of_each(rows)
+    shuffled = P.drop_near_copies(spark, docs, "", broadcast_rows=0)
+    assert Counter((r.doc_id, r.text) for r in shuffled.collect()) == got
