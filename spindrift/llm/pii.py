@@ -40,7 +40,7 @@ EXTRA = {
     "email": rf"(?<!{_LOCAL}){_LOCAL}{{1,64}}(?:\x20?[\[(]at[\])]\x20?|\x20at\x20)[A-Za-z0-9-]{{1,64}}(?:\x20?[\[(]dot[\])]\x20?|\x20dot\x20|\.)[A-Za-z]{{2,12}}(?![A-Za-z])",
     "card": r"(?<![0-9+.-])[0-9](?:[\x20-]?[0-9]){12,14}(?![\x20-]?[0-9])",
     "phone": r"(?<![0-9+().-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
-    "secret": r"(?i:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key|auth)[\"']?\s{0,3}[:=]\s{0,3}[\"']?[A-Za-z0-9_/+-]{12,200}|AKIA[0-9A-Z]{16}(?![0-9A-Za-z])",
+    "secret": r"(?i:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key|auth)[\"']?\s{0,3}[:=]\s{0,3}[\"']?[A-Za-z0-9_/+-]{12,}+|AKIA[0-9A-Z]{16}(?![0-9A-Za-z])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 KINDS = ["email", "ip", "card", "phone", "secret", "ssn"]
@@ -120,7 +120,7 @@ def find_spans(text: Column, kind: str, pattern: str, holds=None) -> Column:
 def _guard(text: Column, kind: str, extra: bool) -> Column:
     """What a text must hold for the pattern to be tried."""
     if kind == "email":
-        return (text.contains("at)") | text.contains("at]") | text.contains(" dot ")) if extra else text.contains("@")
+        return (text.contains(" at ") | text.contains("at)") | text.contains("at]")) if extra else text.contains("@")
     if kind == "phone" and not extra:
         return text.contains("+")
     if kind == "secret":
@@ -192,7 +192,7 @@ def votes(span: Column) -> dict[str, Column]:
             ip=yes_no(~value.rlike(r"^(?:[0-9]\.){3}[0-9]$")),
             card=yes_no(luhn(digits)),
             phone=yes_no(F.length(digits).between(8, 15)),
-            secret=yes_no(value.rlike("[0-9].{0,200}[0-9]") & value.rlike("[a-zA-Z]")),
+            secret=yes_no(value.rlike("[0-9][^0-9]*+[0-9]") & value.rlike("[a-zA-Z]")),
         ),
     }
 
