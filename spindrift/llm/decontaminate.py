@@ -12,7 +12,7 @@ never missed, and nothing is reported without one.
 
 The budget is ``RATE`` of the item's length, less where the lemma's bound would
 fall under one shared q-gram. Items shorter than ``MIN_CHARS`` characters are
-left out: they'd match ordinary prose. The benchmark is read in blocks of at
+matched without edits and between word boundaries. The benchmark is read in blocks of at
 most ``BLOCK_CHARS`` characters, each one a pass over the documents, so what is
 shipped has a fixed bound.
 
@@ -22,6 +22,8 @@ items are all reported; repeated documents each get a row.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,6 +35,7 @@ MIN_CHARS = 24
 BLOCK_CHARS = 4_000_000
 _BITS = 22
 _MULT = np.uint64(0x9E3779B97F4A7C15)
+_TOKEN = re.compile(r"\w+|[^\w\s]")
 
 
 def normalise(text: str | None) -> str:
@@ -100,7 +103,13 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]], q: int = Q, rate: float = RATE, min_chars: int = MIN_CHARS):
         self.q = q
-        self.items = [(i, _chars(t)) for i, t in ((i, normalise(t)) for i, t in items) if len(t) >= max(min_chars, q)]
+        plain, least = [(i, normalise(t)) for i, t in items], max(min_chars, q)
+        self.items = [(i, _chars(t)) for i, t in plain if len(t) >= least]
+        self.short: dict[str, list[tuple[int, int, str, str]]] = {}  # by their first token, with their last
+        for n, (i, t) in enumerate(plain):
+            if 0 < len(t) < least:
+                tokens = _TOKEN.findall(t)
+                self.short.setdefault(tokens[0], []).append((n, i, t, tokens[-1]))
         self.edits = np.array([budget(len(c), q, rate) for _, c in self.items], np.int64)
         self.size = np.array([len(c) for _, c in self.items], np.int64)
         self.need = self.size - q + 1 - q * self.edits
@@ -118,6 +127,20 @@ class Index:
     def find(self, text: str | None) -> list[tuple[int, int, int]]:
         """(item id, end in the normalised text, edits) of each item that the text holds, the best occurrence."""
         t = normalise(text)
+        return sorted(self._find_short(t) + self._find_long(t))
+
+    def _find_short(self, t: str) -> list[tuple[int, int, int]]:
+        if not self.short:
+            return []
+        found: dict[int, tuple[int, int, int]] = {}
+        for m in _TOKEN.finditer(t):
+            for n, i, item, last in self.short.get(m.group(), ()):
+                end = m.start() + len(item)
+                if n not in found and t.startswith(item, m.start()) and _TOKEN.match(last[-1:] + t[end : end + 1]).end() == 1:
+                    found[n] = (i, end, 0)
+        return [*found.values()]
+
+    def _find_long(self, t: str) -> list[tuple[int, int, int]]:
         if len(t) < self.q or not len(self.keys):
             return []
         chars = _chars(t)
