@@ -1,51 +1,54 @@
 """N-gram Jaccard join (operator 3), in DataFrame functions only.
 
 Documents are sets of 5-word shingles; two link when their Jaccard similarity is
-at least ``THRESHOLD`` percent, that is, when their distance in the Jaccard
-metric is at most 1 - THRESHOLD / 100.
-
-Regions. The seeds of the regions are shingles, not whole documents (README:
-why documents don't serve as pivots here). All shingles stand in one order,
-those that many documents share last. A document belongs to the region of its
-first shingle, and its window is every region that a document within the
-distance could have as its first common one: the n - ceil(t n) + 1 first
-shingles of its n. It is replicated to those regions, so every linked pair meets
-in at least one.
-
-The regions would be large where many documents share a passage. So the
-shingles met more than ``COMMON`` times among the lowest hashes of all documents
-are moved to the end of the order (one bit for each of 2^22 hash classes, a
-fixed size), and the windows then end before them. Any order gives the same
-pairs; this one keeps the regions small.
-
-Pairs. The regions that a pair shares are counted; as many shingles as both
-have before the end of the shorter window must be common, which bounds the
-overlap from above and leaves little but true pairs. Those are verified on the
-whole sets. Documents with equal sets are one class with one representative
-(equal 64-bit hash of the sorted set, and size), and links between classes
-count for all their members. Components spread by minimum labels with pointer
-jumping.
+at least ``THRESHOLD`` percent. A set of n shingles then shares all but
+``window_size(n)`` - 1 of its shingles with any set that it links to.
+
+Isolation. Most sets link to nothing, and a set with ``window_size(n)`` shingles
+that no other set has can't. So the shingles in the lowest part of the hash
+space (``FIRST``) are looked up first, and the sets that are shown to be alone
+leave; those left are looked up with all their shingles, and again those alone
+leave. A hot shingle is combined before its shuffle, and the join that tells
+the sets of their shared shingles can be split by the engine at run time.
+
+Regions. The shingles of the sets left stand in one order, rarest first (how
+many of those sets have them, then hash). A set is replicated to the regions of
+the first ``window_size(n)`` of its shingles, less those it has alone; linked
+sets meet in at least one region. A region of more than ``BLOCK`` sets is cut
+into blocks, and each pair of blocks is a region of its own, so no task meets
+more than two blocks at a time and no pair is lost. (README: why documents don't
+serve as pivots, with figures.)
+
+Pairs. The regions that a pair shares are counted, which with the sizes bounds
+the overlap from above; the pairs that can still reach the threshold are
+verified on all their shared shingles. Documents with equal sets are one class
+with one representative (equal 64-bit hash of the sorted set and its size, so
+of m different sets some two are taken for equal with a chance of m^2 / 2^65),
+and links between classes count for all their members. Components spread by
+minimum labels with pointer jumping.
 
 Null and empty texts, or texts without words, have no shingles and link with
-nothing. Rows that repeat a document are copies of each other. A null doc_id
-sorts first. Other columns are ignored.
+nothing. Very long texts are one set like others. Rows that repeat a document
+are copies of each other. Ties can't arise: each link is decided alone, and a
+component's id is its smallest doc_id. A null doc_id sorts first. An empty table
+gives none. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.llm.common import NULL_ID, ascii_lower, checkpointed, let, words_of
 
 WIDTH = 5
 THRESHOLD = 80
-COMMON = 8
-_WORDS = 1 << 16  # 64-bit words of the bit table
-#: Representatives or candidates up to this many are broadcast (16 bytes each); more are joined by a shuffle.
-BROADCAST_ROWS = 2_000_000
-#: Share of the hash space whose shingles are counted: with an order by hash the windows end about there.
-_LOW = -(2**63) + int(0.32 * 2**64)
+#: Share of the hash space whose shingles are looked up first.
+FIRST = 0.3
+#: Sets that meet in one region at a time.
+BLOCK = 256
+#: Ids or classes up to this many are broadcast (16 bytes each); more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def shingles(text: Column, width: int = WIDTH) -> Column:
@@ -58,6 +61,11 @@ def shingles(text: Column, width: int = WIDTH) -> Column:
     return F.sort_array(F.array_distinct(let(words_of(ascii_lower(F.coalesce(text, F.lit("")))), hashes)))
 
 
+def window_size(n: Column, threshold: int = THRESHOLD) -> Column:
+    """A set of n shingles that misses so many of another's can't link to it."""
+    return n - F.ceil(n * threshold / 100) + 1
+
+
 def _small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Marked for a broadcast if it's counted to be small."""
     return F.broadcast(df) if df.count() <= rows else df
@@ -70,73 +78,66 @@ def sets_of(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return base.select("doc_id", n.alias("n"), "hs", F.when(n > 0, F.xxhash64(F.col("hs"), n)).alias("k"))
 
 
-def common_bits(sets: DataFrame, common: int = COMMON) -> Column | None:
-    """The bit table of the shingles met more often than ``common``, as a literal; None if there are none."""
-    low = sets.select(F.explode(F.filter("hs", lambda x: x < _LOW)).alias("h")).groupBy("h").count().filter(F.col("count") > common)
-    word, bit = F.shiftright("h", 6).bitwiseAND(_WORDS - 1), F.col("h").bitwiseAND(63).cast("int")
-    one = F.expr("shiftleft(1L, b)")
-    rows = low.select(word.alias("w"), bit.alias("b")).select("w", one.alias("m")).groupBy("w").agg(F.bit_or("m").alias("m")).collect()  # at most 2 ** 16 rows
-    if not rows:
-        return None
-    table = [0] * _WORDS
-    for r in rows:
-        table[r.w] = r.m
-    return F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")
+def shared_rows(rows: DataFrame) -> DataFrame:
+    """k, h and df (rows that have h) of the rows whose shingle h more than one class k has."""
+    met = rows.groupBy("h").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.count(F.lit(1)).alias("df")).filter("lo < hi").select("h", "df")
+    return rows.join(met.hint("shuffle_hash"), "h")
+
 
+def not_alone(low: DataFrame, classes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """The classes that the lowest shingles don't show to be alone. low: k and hs; classes: k, n, seen (lowest shingles) and members."""
+    shared = shared_rows(low.select("k", F.explode("hs").alias("h"))).groupBy("k").agg(F.count(F.lit(1)).alias("c"))
+    left = classes.join(shared, "k", "left")
+    # each member gave its rows
+    alone = F.col("seen") - F.coalesce(F.col("c") / F.col("members"), F.lit(0))
+    return left.filter(alone < window_size(F.col("n"), threshold)).select("k", "rep", "n")
 
-def window(hs: Column, n: Column, bits: Column | None, threshold: int = THRESHOLD) -> Column:
-    """The shingles of a set that stand for the regions of its window."""
-    p = n - F.ceil(n * threshold / 100) + 1
-    if bits is None:
-        return F.slice(hs, 1, p)
 
-    def flag(x: Column) -> Column:
-        word = F.get(bits, F.shiftright(x, 6).bitwiseAND(_WORDS - 1).cast("int"))
-        return F.call_function("shiftright", word, x.bitwiseAND(63).cast("int")).bitwiseAND(1)
+def shared_sets(docs: DataFrame, left: DataFrame, threshold: int = THRESHOLD, width: int = WIDTH) -> DataFrame:
+    """k, n and hs (shingles shared with other classes, rarest first) of the classes left that aren't alone."""
+    ids = _small(left.select(F.col("rep").alias("doc_id")).distinct())
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)).alias("doc_id"), "text")
+    some = sets_of(keyed.join(ids, "doc_id", "left_semi"), width)
+    # a repeated id may bring other texts
+    sets = checkpointed(some.join(_small(left.select("k")), "k", "left_semi").select("k", "n", "hs"))
+    rows = sets.select("k", "n", F.explode("hs").alias("h"))
+    own = shared_rows(rows).groupBy("k", "n").agg(F.array_sort(F.collect_set(F.struct("df", "h"))).alias("s"))
+    return own.filter(F.col("n") - F.size("s") < window_size(F.col("n"), threshold)).select("k", "n", F.transform("s", lambda x: x["h"]).alias("hs"))
+
 
-    rare = F.filter(hs, lambda x: flag(x) == 0)
-    return let(rare, lambda r: F.when(F.size(r) >= p, F.slice(r, 1, p)).otherwise(F.concat(r, F.slice(F.filter(hs, lambda x: flag(x) == 1), 1, F.greatest(p - F.size(r), F.lit(0))))))
+def region_pairs(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """a < b, na, nb: each two sets as often as they meet in a region. rows: h, k, n."""
+    sizes = rows.groupBy("h").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    cut = rows.join(sizes, "h").withColumn("blocks", F.ceil(F.col("m") / block).cast("int"))
+    cut = cut.withColumn("x", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cut = cut.select("h", "k", "n", "x", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"))
+    a, b = (cut.select("h", "i", "j", F.col("k").alias(c), F.col("n").alias(f"n{c}"), F.col("x").alias(f"x{c}")) for c in "ab")
+    # two of one block meet where the block meets itself
+    return a.join(b, ["h", "i", "j"]).filter("a < b AND (i = j OR xa <> xb)").select("a", "b", "na", "nb")
 
 
-def similar_pairs(docs: DataFrame, sets: DataFrame, classes: DataFrame, threshold: int = THRESHOLD, width: int = WIDTH) -> DataFrame:
+def similar_pairs(docs: DataFrame, left: DataFrame, threshold: int = THRESHOLD, width: int = WIDTH, block: int = BLOCK) -> DataFrame:
     """a < b: the classes whose sets link."""
-    bits = common_bits(sets)
-    reps = classes.select("k", F.col("rep").alias("doc_id"))
-    reps = _small(reps)
-    rows = sets.join(reps, ["k", "doc_id"], "left_semi").select("k", "n", F.explode(window(F.col("hs"), F.col("n"), bits, threshold)).alias("h"))
-    # regions of one document have nothing to join
-    shared = rows.withColumn("in_region", F.count(F.lit(1)).over(Window.partitionBy("h"))).filter("in_region > 1").select("h", "k", "n")
-    shared = checkpointed(shared)
-    a, b = shared.select("h", F.col("k").alias("a"), F.col("n").alias("na")), shared.select("h", F.col("k").alias("b"), F.col("n").alias("nb"))
-    met = a.join(b, "h").filter((F.col("a") < F.col("b")) & (100 * F.least("na", "nb") >= threshold * F.greatest("na", "nb")))
+    sets = checkpointed(shared_sets(docs, left, threshold, width))
+    p = window_size(F.col("n"), threshold)
+    first = F.slice("hs", F.lit(1), F.greatest(p - (F.col("own")), F.lit(0)).cast("int"))
+    rows = checkpointed(sets.withColumn("own", F.col("n") - F.size("hs")).select("k", "n", F.explode(first).alias("h")))
+    met = region_pairs(rows, block).filter(F.lit(100) * F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
     met = met.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c"))
     # overlap of sets with that similarity; and the most that can lie behind the windows
     need = F.ceil(F.lit(threshold) * (F.col("na") + F.col("nb")) / (100 + threshold))
-    behind = lambda n: n - (n - F.ceil(n * threshold / 100) + 1)
-    near = met.filter(F.col("c") + F.greatest(behind(F.col("na")), behind(F.col("nb"))) >= need).select("a", "b")
-    near = checkpointed(near)
-    return _verified(near, docs, classes, threshold, width)
-
-
-def _verified(near: DataFrame, docs: DataFrame, classes: DataFrame, threshold: int, width: int) -> DataFrame:
-    both = near.select(F.col("a").alias("k")).union(near.select(F.col("b").alias("k"))).distinct()
-    wanted = checkpointed(classes.join(both, "k", "left_semi").select(F.col("rep").alias("doc_id"), "k"))
-    ids = _small(wanted.select("doc_id").distinct())
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)).alias("doc_id"), "text")
-    some = sets_of(keyed.join(ids, "doc_id", "left_semi"), width)
-    sets = some.join(_small(wanted.select("k")), "k", "left_semi").select("k", "n", "hs").dropDuplicates(["k"])
-    left = sets.select(F.col("k").alias("a"), F.col("hs").alias("ha"), F.col("n").alias("na"))
-    right = sets.select(F.col("k").alias("b"), F.col("hs").alias("hb"), F.col("n").alias("nb"))
-    full = near.join(left, "a").join(right, "b")
-    met = F.size(F.array_intersect("ha", "hb"))
-    return full.select("a", "b", met.alias("i"), (F.col("na") + F.col("nb")).alias("s")).filter(100 * F.col("i") >= threshold * (F.col("s") - F.col("i"))).select("a", "b")
+    behind = lambda n: n - window_size(n, threshold)
+    near = met.filter(F.col("c") + F.greatest(behind(F.col("na")), behind(F.col("nb"))) >= need)
+    one, other = (sets.select(F.col("k").alias(c), F.col("hs").alias(f"h{c}")) for c in "ab")
+    full = near.select("a", "b", (F.col("na") + F.col("nb")).alias("s")).join(one, "a").join(other, "b").withColumn("o", F.size(F.array_intersect("ha", "hb")))
+    return full.filter(F.lit(100) * F.col("o") >= threshold * (F.col("s") - F.col("o"))).select("a", "b")
 
 
-def components(edges: DataFrame, nodes: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """k, label: the smallest ``start`` of each node's component. nodes: k, start; edges: a, b."""
     both = checkpointed(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     labels = checkpointed(nodes.select("k", F.col("start").alias("label"), F.col("start")))
-    for _ in range(rounds):
+    while True:
         near = both.join(labels.select(F.col("k").alias("b"), F.col("label").alias("l")), "b").groupBy("a").agg(F.min("l").alias("l"))
         lower = labels.join(near.withColumnRenamed("a", "k"), "k", "left").select("k", "start", "label", F.least("label", F.coalesce("l", "label")).alias("new"))
         # jump: the label of the node whose start is this label
@@ -147,16 +148,17 @@ def components(edges: DataFrame, nodes: DataFrame, rounds: int = 60) -> DataFram
         labels = moved.select("k", F.col("new").alias("label"), "start")
         if not changed:
             return labels.select("k", "label")
-    raise RuntimeError("components did not settle")
 
 
 def jaccard_join(docs: DataFrame, threshold: int = THRESHOLD, width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles, n_similar and component_id of every row."""
     docs = docs.select("doc_id", "text")
-    sets = sets_of(docs, width)
-    slim = checkpointed(sets.select("doc_id", "n", "k"))
-    classes = checkpointed(slim.filter("k IS NOT NULL").groupBy("k").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("members")))
-    edges = checkpointed(similar_pairs(docs, sets, classes, threshold, width))
+    low = F.lit(-(2**63) + int(FIRST * 2**64))
+    slim = checkpointed(sets_of(docs, width).select("doc_id", "n", "k", F.filter("hs", lambda x: x < low).alias("hs")))
+    told = F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("members"), F.min("n").alias("n"), F.min(F.size("hs")).alias("seen")
+    classes = checkpointed(slim.filter("k IS NOT NULL").groupBy("k").agg(*told))
+    left = checkpointed(not_alone(slim.filter("k IS NOT NULL").select("k", "hs"), classes, threshold))
+    edges = checkpointed(similar_pairs(docs, left, threshold, width))
     linked = edges.select(F.col("a").alias("k")).union(edges.select(F.col("b").alias("k"))).distinct()
     nodes = checkpointed(classes.join(linked, "k", "left_semi"))
     labels = components(edges, nodes.select("k", F.col("rep").alias("start")))
