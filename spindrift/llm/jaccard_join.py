@@ -79,30 +79,40 @@ def sets_of(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def shared_rows(rows: DataFrame) -> DataFrame:
-    """k, h and df (rows that have h) of the rows whose shingle h more than one class k has."""
-    met = rows.groupBy("h").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.count(F.lit(1)).alias("df")).filter("lo < hi").select("h", "df")
+    """The rows whose shingle h more than one row has, with df, how many.
+
+    Rows of a document that is there twice may make a shingle look shared; that
+    only keeps a class longer among the candidates.
+    """
+    met = rows.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     return rows.join(met.hint("shuffle_hash"), "h")
 
 
 def not_alone(low: DataFrame, classes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """The classes that the lowest shingles don't show to be alone. low: k and hs; classes: k, n, seen (lowest shingles) and members."""
-    shared = shared_rows(low.select("k", F.explode("hs").alias("h"))).groupBy("k").agg(F.count(F.lit(1)).alias("c"))
+    """The classes that the lowest shingles don't show to be alone. low: doc_id, k and hs; classes: k, rep, n, members and seen (lowest shingles)."""
+    several = classes.filter("members > 1").select("k", "rep")
+    one = low.join(_small(several), "k", "left").filter("rep IS NULL OR rep = doc_id")
+    shared = shared_rows(one.select("k", F.explode("hs").alias("h"))).groupBy("k").agg(F.count(F.lit(1)).alias("c"))
     left = classes.join(shared, "k", "left")
-    # each member gave its rows
-    alone = F.col("seen") - F.coalesce(F.col("c") / F.col("members"), F.lit(0))
+    alone = F.col("seen") - F.coalesce("c", F.lit(0))
     return left.filter(alone < window_size(F.col("n"), threshold)).select("k", "rep", "n")
 
 
 def shared_sets(docs: DataFrame, left: DataFrame, threshold: int = THRESHOLD, width: int = WIDTH) -> DataFrame:
-    """k, n and hs (shingles shared with other classes, rarest first) of the classes left that aren't alone."""
+    """k, n and hs (shingles shared with other classes, rarest first) of the classes left that aren't alone.
+
+    A shingle is the logarithm of its df above 57 bits of its hash, so a sorted
+    set is in the order of the windows.
+    """
     ids = _small(left.select(F.col("rep").alias("doc_id")).distinct())
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)).alias("doc_id"), "text")
     some = sets_of(keyed.join(ids, "doc_id", "left_semi"), width)
     # a repeated id may bring other texts
     sets = checkpointed(some.join(_small(left.select("k")), "k", "left_semi").select("k", "n", "hs"))
     rows = sets.select("k", "n", F.explode("hs").alias("h"))
-    own = shared_rows(rows).groupBy("k", "n").agg(F.array_sort(F.collect_set(F.struct("df", "h"))).alias("s"))
-    return own.filter(F.col("n") - F.size("s") < window_size(F.col("n"), threshold)).select("k", "n", F.transform("s", lambda x: x["h"]).alias("hs"))
+    code = F.shiftleft(F.floor(F.log2("df")), 57).bitwiseOR(F.col("h").bitwiseAND((1 << 57) - 1))
+    own = shared_rows(rows).groupBy("k", "n").agg(F.sort_array(F.collect_set(code)).alias("hs"))
+    return own.filter(F.col("n") - F.size("hs") < window_size(F.col("n"), threshold))
 
 
 def region_pairs(rows: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -157,7 +167,7 @@ def jaccard_join(docs: DataFrame, threshold: int = THRESHOLD, width: int = WIDTH
     slim = checkpointed(sets_of(docs, width).select("doc_id", "n", "k", F.filter("hs", lambda x: x < low).alias("hs")))
     told = F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("members"), F.min("n").alias("n"), F.min(F.size("hs")).alias("seen")
     classes = checkpointed(slim.filter("k IS NOT NULL").groupBy("k").agg(*told))
-    left = checkpointed(not_alone(slim.filter("k IS NOT NULL").select("k", "hs"), classes, threshold))
+    left = checkpointed(not_alone(slim.filter("k IS NOT NULL").select("doc_id", "k", "hs"), classes, threshold))
     edges = checkpointed(similar_pairs(docs, left, threshold, width))
     linked = edges.select(F.col("a").alias("k")).union(edges.select(F.col("b").alias("k"))).distinct()
     nodes = checkpointed(classes.join(linked, "k", "left_semi"))
