@@ -10,17 +10,14 @@ import ast
 import bisect
 import hashlib
 import io
-import itertools
 import re
 import tokenize
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 
-MIN_NODES, MAX_CHARS = 10, 10_000
-#: Units in a batch of results.
-BATCH_UNITS = 1000
+from spindrift.extract.rows import byte_offsets
 
+MIN_NODES, MAX_CHARS = 10, 10_000
 SCHEMA = (
     "doc_id string, kind string, name string, scope string, start_byte bigint, end_byte bigint, start_line bigint, end_line bigint, body_node_count bigint, "
     "source_hash string, normalized_body_hash string, representations array<struct<kind:string,content_hash:string,content:string,origin:string>>, "
@@ -53,12 +50,27 @@ class _Offsets:
         for line in source.encode().splitlines(keepends=True):
             self.lines.append(self.lines[-1] + len(line))
 
+        self.of = byte_offsets(source)
+
     def at(self, line: int, byte: int) -> int:
         return self.lines[line - 1] + byte
 
 
+#: Literals and comments, where no literal holds expressions.
+_LITERAL = re.compile(r"#[^\n\r]*|\"\"\"(?:\\.|[^\\])*?\"\"\"|'''(?:\\.|[^\\])*?'''|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'", re.S)
+_PREFIXED = re.compile(r"\b[rRbBuU]*[fFtT][rRbB]*[\"']")
+
+
 def comments(source: str, off: _Offsets) -> list[tuple[int, int]]:
     out = []
+    if "#" not in source:
+        return out
+    if not _PREFIXED.search(source):
+        for m in _LITERAL.finditer(source):
+            if m.group()[0] == "#":
+                a = off.of(m.start())
+                out.append((a, a + len(m.group().encode())))
+        return out
     try:
         for t in tokenize.generate_tokens(io.StringIO(source).readline):
             if t.type == tokenize.COMMENT:
@@ -69,7 +81,7 @@ def comments(source: str, off: _Offsets) -> list[tuple[int, int]]:
     return out
 
 
-_WORD = re.compile(r"[\w]")
+_WORD, _SPACE = re.compile(r"[\w]"), re.compile(r"\s+")
 
 
 def declared_name(text: str, name: str) -> int | None:
@@ -88,23 +100,41 @@ def extract(source: str, min_nodes: int = MIN_NODES, max_chars: int = MAX_CHARS)
         tree = ast.parse(source)
     except (SyntaxError, ValueError, RecursionError):
         return []
-    off, raw, lines = _Offsets(source), source.encode(), source.splitlines()
+    off, raw = _Offsets(source), source.encode()
+    lines = [x.decode() for x in raw.splitlines()]  # of bytes: only the breaks that the parser knows
     notes, out = comments(source, off), []
 
-    def visit(node, scope: list[str]):
-        inner = scope
-        if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.Lambda)):
-            if unit := build(node, scope):
-                out.append(unit)
-        elif isinstance(node, ast.ClassDef):
-            inner = [*scope, node.name]
-        for child in ast.iter_child_nodes(node):
-            visit(child, inner)
-
-    def build(node, scope):
+    frames: list[list[ast.Call]] = [[]]
+
+    def visit(node, scope: list[str]) -> int:
+        """The nodes of a tree; its units are built on the way, each with the calls that no unit inside it has."""
+        count, body = 1, 0
+        unit = isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.Lambda))
+        inner = [*scope, node.name] if isinstance(node, ast.ClassDef) else scope
+        if isinstance(node, ast.Call):
+            frames[-1].append(node)
+        if unit:
+            frames.append([])
+        for field in node._fields:
+            value = getattr(node, field, None)
+            n = 0
+            for x in value if isinstance(value, list) else (value,):
+                if isinstance(x, ast.AST):
+                    n += visit(x, inner)
+            count += n
+            if unit and field == "body":
+                body = n
+        if unit:
+            calls = frames.pop()
+            if built := build(node, scope, body, calls):
+                out.append(built)
+            else:
+                frames[-1] += calls
+        return count
+
+    def build(node, scope, nodes, found):
         a, b = off.at(node.lineno, node.col_offset), off.at(node.end_lineno, node.end_col_offset)
         body = node.body if isinstance(node.body, list) else [node.body]
-        nodes = sum(1 for stmt in body for _ in ast.walk(stmt))
         text = raw[a:b].decode()
         if nodes < min_nodes or not text.strip() or len(text) > max_chars:
             return None
@@ -132,27 +162,20 @@ def extract(source: str, min_nodes: int = MIN_NODES, max_chars: int = MAX_CHARS)
             reps.append(("documentation", _sha(doc), doc))
         reps.append(("symbol", _sha(name), name))
         calls = []
-        for x in ast.walk(node):
-            if isinstance(x, ast.Call):
-                callee = re.sub(r"\s+", "", raw[off.at(x.func.lineno, x.func.col_offset) : off.at(x.func.end_lineno, x.func.end_col_offset)].decode())
-                calls.append({"callee": callee, "snippet": lines[x.lineno - 1].strip()[:200], "line": x.lineno, "byte": off.at(x.lineno, x.col_offset)})
+        for x in found:
+            callee = _SPACE.sub("", raw[off.at(x.func.lineno, x.func.col_offset) : off.at(x.func.end_lineno, x.func.end_col_offset)].decode())
+            calls.append({"callee": callee, "snippet": lines[x.lineno - 1].strip()[:200], "line": x.lineno})
         return {
             "kind": "lambda" if isinstance(node, ast.Lambda) else "function", "name": name, "scope": ".".join(scope) or None, "start_byte": a, "end_byte": b,
             "start_line": node.lineno, "end_line": node.end_lineno, "body_node_count": nodes, "source_hash": _sha(text), "normalized_body_hash": _sha(normalized(body_text)),
-            "representations": [{"kind": k, "content_hash": h, "content": c, "origin": "extracted"} for k, h, c in reps], "calls": calls,
+            "representations": [{"kind": k, "content_hash": h, "content": c, "origin": "extracted"} for k, h, c in reps], "references": sorted(calls, key=lambda c: c["line"]),
         }
 
-    visit(tree, [])
+    try:
+        visit(tree, [])
+    except RecursionError:
+        return []
     out.sort(key=lambda u: (u["start_byte"], u["end_byte"]))
-    # a call belongs to the innermost unit around it
-    owner: dict[int, dict] = {}
-    for u in out:
-        for c in u["calls"]:
-            if c["byte"] not in owner or u["start_byte"] >= owner[c["byte"]]["start_byte"]:
-                owner[c["byte"]] = u
-    for u in out:
-        mine = [c for c in u.pop("calls") if owner[c["byte"]] is u]
-        u["references"] = sorted(({k: c[k] for k in ("callee", "snippet", "line")} for c in mine), key=lambda c: c["line"])
     return out
 
 
@@ -176,17 +199,8 @@ def clean_docstring(literal: str) -> str | None:
 
 def extract_units(documents: DataFrame, min_nodes: int = MIN_NODES, max_chars: int = MAX_CHARS) -> DataFrame:
     """The units of all Python documents (doc_id, content)."""
-    fields = [c.split()[0] for c in SCHEMA.split(", ")[:11]]
-    rep = pa.list_(pa.struct([(k, pa.string()) for k in ("kind", "content_hash", "content", "origin")]))
-    ref = pa.list_(pa.struct([("callee", pa.string()), ("snippet", pa.string()), ("line", pa.int64())]))
-    types = [pa.string()] * 4 + [pa.int64()] * 5 + [pa.string()] * 2
-
-    def run(batches):
-        for b in batches:
-            units = (u | {"doc_id": d} for d, t in zip(b.column(0).to_pylist(), b.column(1)) for u in extract(t.as_py() or "", min_nodes, max_chars))
-            while rows := list(itertools.islice(units, BATCH_UNITS)):
-                cols = [pa.array([r[f] for r in rows], t) for f, t in zip(fields, types)]
-                cols += [pa.array([r["representations"] for r in rows], rep), pa.array([r["references"] for r in rows], ref)]
-                yield pa.RecordBatch.from_arrays(cols, names=[*fields, "representations", "references"])
-
-    return documents.select("doc_id", "content").mapInArrow(run, SCHEMA)
+    from pyspark.sql import functions as F
+
+    from spindrift.extract.frontends import extract_units as every
+
+    return every(documents.select("doc_id", F.lit("python").alias("language"), "content"), min_nodes, max_chars)

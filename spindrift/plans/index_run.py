@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.extract.python import MAX_CHARS, MIN_NODES, extract_units
+from spindrift.extract.frontends import extract_units
+from spindrift.extract.python import MAX_CHARS, MIN_NODES
 from spindrift.functions.ids import fingerprint
 from spindrift.operators.filters import apply_retention
 from spindrift.operators.identity import assign_identity
