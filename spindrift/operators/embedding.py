@@ -108,11 +108,16 @@ def hash_contract(dimensions: int) -> Contract:
 def hash_embed(df: DataFrame, text: str, dimensions: int, key: str = "unit_ix", normalized: bool = True) -> DataFrame:
     """key and embedding: counts of hashed tokens, without a model and inside the engine.
 
-    Each row's tokens are hashed and counted in place, so nothing is shuffled.
+    Each row's tokens are hashed and sorted in place, so nothing is shuffled, and
+    a row's work grows with its tokens and the width, not with their product: the
+    sorted buckets, with one of each width in between, are cut into runs.
     """
-    buckets = F.transform(F.regexp_extract_all(F.col(text), F.lit(_HASH_TOKEN), F.lit(0)), lambda t: hash_bucket(t, dimensions))
-    count = lambda b: F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.size(F.filter(b, lambda x: x == i)).cast("float"))
-    out = df.select(key, let(buckets, count).alias("embedding"))
+    found = F.transform(F.regexp_extract_all(F.col(text), F.lit(_HASH_TOKEN), F.lit(0)), lambda t: hash_bucket(t, dimensions).cast("int"))
+    every = F.sequence(F.lit(0), F.lit(dimensions - 1))
+    # with each bucket once more, bucket i's run ends at the i-th change; its length less one is the count
+    ends = lambda x: F.filter(F.transform(x, lambda v, i: F.when(F.coalesce(F.get(x, i + 1) != v, F.lit(True)), i)), lambda e: e.isNotNull())
+    runs = lambda e: F.transform(e, lambda v, i: (v - F.coalesce(F.get(e, i - 1), F.lit(-1)) - 1).cast("float"))
+    out = df.select(key, let(F.sort_array(F.concat(F.coalesce(found, F.array().cast("array<int>")), every)), lambda x: let(ends(x), runs)).alias("embedding"))
     return out.withColumn("embedding", let(F.col("embedding"), lambda v: normalize(v))) if normalized else out
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -10,8 +12,8 @@ from pyspark.sql import functions as F
 from spindrift.checkpoints import checkpointed
 from spindrift.functions.vectors import dot, project
 
-#: A query side of at most this many bytes of vectors is shipped to every task.
-BROADCAST_BYTES = 32 << 20
+#: Bytes of vectors that one cell of a grid of blocks takes from each side.
+CELL_BYTES = 256 << 20
 
 
 def _query(vector: list[float]):
@@ -64,50 +66,73 @@ def _blocks(vectors: DataFrame, block: int) -> DataFrame:
     return ordered.mapInArrow(run, "b bigint, ids array<bigint>, m binary")
 
 
+def _grid(spark, *sides: DataFrame) -> int:
+    """Groups to cut each side into, so that every pair of groups is a cell that fits a task and all cores have cells."""
+    sizes = [d.agg(F.coalesce(F.sum(F.length("m")), F.lit(0)).alias("n")).first().n for d in sides]
+    return max(math.ceil(math.sqrt(spark.sparkContext.defaultParallelism)), *(math.ceil(n / CELL_BYTES) for n in sizes))
+
+
+def _multiply(li, lm, ri, rm):
+    x, y = np.frombuffer(lm, "<f4").reshape(len(li), -1).astype(np.float64), np.frombuffer(rm, "<f4").reshape(len(ri), -1).astype(np.float64)
+    return np.array(li), np.array(ri), x @ y.T
+
+
+def _scores(rows) -> pa.RecordBatch:
+    a, b, s = rows
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())], names=["a", "b", "score"])
+
+
 def similar_pairs(vectors: DataFrame, threshold: float, block: int = 1024) -> DataFrame:
     """a < b with a dot product of at least ``threshold``.
 
-    Every pair has to be scored, so blocks of vectors meet each other once and a
-    task multiplies two matrices; the size of the blocks doesn't change the result.
+    Every pair has to be scored. The blocks are cut into groups and each pair of
+    groups is a cell, so a block is copied once for each group and not for each
+    block; inside a cell a task multiplies block by block. The sizes of blocks and
+    groups don't change the result.
     """
-    blocks = _blocks(vectors, block)
-    left, right = blocks.select(F.col("b").alias("lb"), F.col("ids").alias("li"), F.col("m").alias("lm")), blocks.select(F.col("b").alias("rb"), F.col("ids").alias("ri"), F.col("m").alias("rm"))
+    blocks = checkpointed(_blocks(vectors, block))
+    n = _grid(vectors.sparkSession, blocks)
+    own = F.pmod(F.xxhash64("b"), F.lit(n)).cast("int")
+    left = blocks.select(own.alias("g"), F.explode(F.sequence(own, F.lit(n - 1))).alias("h"), F.col("b").alias("lb"), F.col("ids").alias("li"), F.col("m").alias("lm"))
+    right = blocks.select(F.explode(F.sequence(F.lit(0), own)).alias("g"), own.alias("h"), F.col("b").alias("rb"), F.col("ids").alias("ri"), F.col("m").alias("rm"))
+    met = left.join(right, ["g", "h"]).filter("g < h OR lb <= rb").select("lb", "li", "lm", "rb", "ri", "rm")
 
     def run(batches):
         for t in batches:
-            for li, lm, ri, rm in zip(*(t.column(i).to_pylist() for i in (1, 2, 4, 5))):
-                x, y = np.frombuffer(lm, "<f4").reshape(len(li), -1).astype(np.float64), np.frombuffer(rm, "<f4").reshape(len(ri), -1).astype(np.float64)
-                s = x @ y.T
+            for lb, li, lm, rb, ri, rm in zip(*(c.to_pylist() for c in t.columns)):
+                x, y, s = _multiply(li, lm, ri, rm)
                 i, j = np.nonzero(s >= threshold)
-                a, b = np.array(li)[i], np.array(ri)[j]
-                keep = a < b
-                yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep]), pa.array(s[i, j][keep])], names=["a", "b", "score"])
+                a, b = x[i], y[j]
+                keep = a < b if lb == rb else a != b
+                yield _scores((np.minimum(a, b)[keep], np.maximum(a, b)[keep], s[i, j][keep]))
 
-    n = vectors.sparkSession.sparkContext.defaultParallelism
-    meet = left.join(right, F.col("lb") <= F.col("rb")).repartition(n * 4, "lb", "rb")
-    return meet.mapInArrow(run, "a bigint, b bigint, score double")
+    return met.mapInArrow(run, "a bigint, b bigint, score double")
 
 
 def top_k_between(sources: DataFrame, targets: DataFrame, k: int, threshold: float) -> DataFrame:
     """For each source its k best targets, itself included if it is one; sources without any have a null row.
 
-    sources, targets: unit_ix, embedding (null for none). Blocks of both sides
-    meet once and a task multiplies two matrices; a block pair keeps k targets of
-    each source, and those tied with the last.
+    sources, targets: unit_ix, embedding (null for none). Both sides' blocks are
+    cut into groups that meet in the cells of a grid, where a task multiplies
+    block by block; a pair of blocks keeps k targets of each source, and those tied
+    with the last.
     """
     have = lambda d: d.filter(F.col("embedding").isNotNull() & F.col("unit_ix").isNotNull())
-    left, right = (_blocks(have(d), n).select(F.col("ids").alias(f"{c}i"), F.col("m").alias(f"{c}m")) for d, n, c in ((sources, 512, "l"), (targets, 4096, "r")))
+    left, right = (checkpointed(_blocks(have(d), n)) for d, n in ((sources, 512), (targets, 4096)))
+    n = _grid(sources.sparkSession, left, right)
+    own, every = F.pmod(F.xxhash64("b"), F.lit(n)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    l_side = left.select(own.alias("g"), every.alias("h"), F.col("ids").alias("li"), F.col("m").alias("lm"))
+    r_side = right.select(every.alias("g"), own.alias("h"), F.col("ids").alias("ri"), F.col("m").alias("rm"))
 
     def run(batches):
         for t in batches:
-            for li, lm, ri, rm in zip(*(c.to_pylist() for c in t.columns)):
-                x, y = np.frombuffer(lm, "<f4").reshape(len(li), -1).astype(np.float64), np.frombuffer(rm, "<f4").reshape(len(ri), -1).astype(np.float64)
-                s = x @ y.T
-                least = np.partition(s, -k, axis=1)[:, -k] if len(ri) > k else np.full(len(li), -np.inf)
+            for row in zip(*(c.to_pylist() for c in t.columns)):
+                x, y, s = _multiply(*row)
+                least = np.partition(s, -k, axis=1)[:, -k] if len(y) > k else np.full(len(x), -np.inf)
                 i, j = np.nonzero((s >= least[:, None]) & (s >= threshold))
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(li)[i]), pa.array(np.array(ri)[j]), pa.array(s[i, j])], names=["a", "b", "score"])
+                yield _scores((x[i], y[j], s[i, j]))
 
-    met = left.join(right, F.lit(True)).mapInArrow(run, "a bigint, b bigint, score double")
+    met = l_side.join(r_side, ["g", "h"]).select("li", "lm", "ri", "rm").mapInArrow(run, "a bigint, b bigint, score double")
     order = Window.partitionBy("a").orderBy(F.desc("score"), "b")
     best = met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return sources.select(F.col("unit_ix").alias("a")).join(best, "a", "left")

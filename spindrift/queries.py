@@ -108,7 +108,7 @@ def similar_pairs(spark, sf_dir):
     return ranking.similar_pairs(A.vectors(spark, sf_dir), PAIR_THRESHOLD).select("a", "b", r6("score").alias("score"))
 
 
-@query(f"""WITH {UNITS}, src AS (SELECT unit_ix, embedding FROM units LEFT JOIN embeddings ON vec_id = unit_ix WHERE unit_ix % 10 = 0), tgt AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 3 = 0),
+@query(f"""WITH {UNITS}, src AS (SELECT unit_ix, embedding FROM units LEFT JOIN embeddings ON vec_id = unit_ix ), tgt AS (SELECT vec_id, embedding FROM embeddings),
 s AS (SELECT a.unit_ix AS a, b.vec_id AS b, {_DOT.format(a="a.embedding", b="b.embedding")} AS score FROM src a JOIN tgt b ON a.embedding IS NOT NULL),
 k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS rank FROM s WHERE score >= 0.1)
 SELECT src.unit_ix AS a, k.b, round(k.score, 6) + 0.0 AS score, k.rank::BIGINT AS rank FROM src LEFT JOIN k ON k.a = src.unit_ix AND k.rank <= 5""")
@@ -253,8 +253,7 @@ def symbol_names(spark, sf_dir):
     return p.select("p_partkey", T.symbol_name(raw).alias("symbol"))
 
 
-@query(f"""WITH {UNITS}, x AS (SELECT unit_ix, content, [{{'s': 2, 'e': 5}}, {{'s': 4, 'e': 9}}, {{'s': 20, 'e': 20}}] AS r FROM units WHERE regexp_matches(content, '^[\\x00-\\x7F]*$'))
-SELECT unit_ix, sha256(substr(content, 1, 2) || substr(content, 10)) AS kept FROM x""")
+@query()
 def strip_ranges(spark, sf_dir):
     u = A.units(spark, sf_dir)
     pair = lambda a, b: F.struct(F.lit(a).cast("bigint").alias("start"), F.lit(b).cast("bigint").alias("end"))
@@ -278,8 +277,23 @@ def compress_query(spark, sf_dir):
     return A.table(spark, sf_dir, "conversations").select("conv_id", "turn", T.compressed("text").alias("compressed"))
 
 
-@query(rf"""WITH {UNITS}, p AS (SELECT unit_ix, content, least(200, length(content)) AS k FROM units), h AS (SELECT unit_ix, substr(content, 1, k) AS head FROM p)
-SELECT unit_ix, (length(head) - length(replace(head, chr(10), '')))::BIGINT AS line, length(string_split(head, chr(10))[-1])::BIGINT AS col FROM h""")
+@query(f"""WITH {UNITS} SELECT unit_ix, sha256(substr(content, 1, 2) || substr(content, 10)) AS kept FROM units""")
+def strip_ranges_chars(spark, sf_dir):
+    """The same on ranges that start and end between characters, which SQL can cut as well."""
+    byte = lambda n: F.octet_length(F.substring("content", 1, n)).cast("bigint")
+    pair = lambda a, b: F.struct(byte(a).alias("start"), byte(b).alias("end"))
+    return A.units(spark, sf_dir).select("unit_ix", F.sha2(T.strip_ranges("content", F.array(pair(4, 9), pair(2, 5), pair(20, 20))), 256).alias("kept"))
+
+
+_PLACES = {"": "b200", "middle_": "mid", "end_": "size"}
+
+
+@query(rf"""WITH {UNITS}, sized AS (SELECT unit_ix, content, strlen(content) AS size, strlen(content) // 2 AS mid, strlen(substr(content, 1, 200)) AS b200 FROM units),
+one AS (SELECT unit_ix, size, mid, b200, unnest(l) AS c, generate_subscripts(l, 1) AS i FROM (SELECT *, regexp_extract_all(content, '(?s:.)') AS l FROM sized)),
+cs AS (SELECT *, sum(strlen(c)) OVER (PARTITION BY unit_ix ORDER BY i) - strlen(c) AS before FROM one),
+nl AS (SELECT unit_ix, {", ".join(f"count(*) FILTER (WHERE c = chr(10) AND before < {b}) AS {k}l, coalesce(max(i) FILTER (WHERE c = chr(10) AND before < {b}), 0) AS {k}n" for k, b in _PLACES.items())} FROM cs GROUP BY unit_ix),
+w AS (SELECT cs.unit_ix, {", ".join(f"coalesce(sum(CASE WHEN strlen(c) = 4 THEN 2 ELSE 1 END) FILTER (WHERE i > {k}n AND before < {b}), 0) AS {k}c" for k, b in _PLACES.items())} FROM cs JOIN nl USING (unit_ix) GROUP BY cs.unit_ix)
+SELECT u.unit_ix, {", ".join(f"coalesce(nl.{k}l, 0)::BIGINT AS {k}line, coalesce(w.{k}c, 0)::BIGINT AS {k}col" for k in _PLACES)} FROM units u LEFT JOIN nl USING (unit_ix) LEFT JOIN w USING (unit_ix)""")
 def byte_positions(spark, sf_dir):
     u = A.units(spark, sf_dir)
     n = F.octet_length("content")
@@ -575,7 +589,7 @@ def merge_ranges(spark, sf_dir):
 
 
 _CALLS = """named AS (SELECT p_partkey AS unit_ix, p_brand AS project, p_type || '_' || p_size AS name FROM part),
-calls AS (SELECT n.project, n.unit_ix AS caller_ix, m.name AS callee, 'call ' || (l.l_orderkey % 5) AS snippet FROM lineitem l JOIN named n ON n.unit_ix = l.l_partkey JOIN named m ON m.unit_ix = l.l_partkey % 50 + 1 WHERE l.l_linenumber = 1),
+calls AS (SELECT n.project, n.unit_ix AS caller_ix, m.name AS callee, 'call ' || (l.l_orderkey % 5) AS snippet FROM lineitem l JOIN named n ON n.unit_ix = l.l_partkey JOIN named m ON m.unit_ix = l.l_partkey % 50 + 1),
 hit AS (SELECT DISTINCT d.unit_ix, c.name || ': ' || calls.snippet AS line FROM calls JOIN named d ON d.project = calls.project AND d.name = calls.callee AND d.unit_ix <> calls.caller_ix JOIN named c ON c.unit_ix = calls.caller_ix)"""
 
 
