@@ -18,13 +18,14 @@ from spindrift.llm import decontaminate as leaks
 from spindrift.llm import jaccard_join as jaccard
 from spindrift.llm import line_dedup as lines
 from spindrift.llm import packing, toxicity
-from spindrift.llm.common import checkpointed, shared_folder, table
+from spindrift.llm.common import checkpointed, fresh, shared_folder, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labelled ones among them, finds toxic go."""
     model = toxicity.fit(*toxicity.training_sample(docs, table(spark, sf_dir, "labels")))
-    return toxicity.score(docs, model).filter("predicted = 0").select(*docs.columns)
+    names = fresh("score", docs), fresh("predicted", docs)
+    return toxicity.score(docs, model, names=names).filter(F.col(names[1]) == 0).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,18 +42,21 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str, broadcas
     rows to drop or to thin are counted and broadcast up to ``broadcast_rows`` of
     them, joined by a shuffle beyond.
     """
-    keyed = docs.withColumn("__row", F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.coalesce("text", F.lit(""))))
-    groups = jaccard.jaccard_join(keyed.select(F.col("__row").alias("doc_id"), "text"))
-    near = checkpointed(groups.filter("n_similar > 0").select(F.col("doc_id").alias("__row"), F.col("component_id").alias("__group")).distinct())
-    rows = checkpointed(keyed.groupBy("__row").agg(F.min("doc_id").alias("__id"), F.count(F.lit(1)).alias("__n")))
-    grouped = rows.join(near, "__row")
-    first = grouped.groupBy("__group").agg(F.min(F.struct(F.col("__id").isNull().alias("x"), "__id", "__row"))["__row"].alias("__first"))
-    gone = grouped.join(first, "__group").filter("__row <> __first").select("__row", F.lit(True).alias("__gone"))
-    marks = checkpointed(rows.join(gone, "__row", "left").filter("__gone OR __n > 1").select("__row", F.coalesce("__gone", F.lit(False)).alias("__gone")))
-    told = keyed.join(F.broadcast(marks) if marks.count() <= broadcast_rows else marks, "__row", "left")
-    order = Window.partitionBy("__row", "doc_id", "text").orderBy(F.to_json(F.struct(*docs.columns)))
-    thinned = told.filter("NOT __gone").withColumn("__k", F.row_number().over(order)).filter("__k = 1")
-    return told.filter("__gone IS NULL").select(*docs.columns).union(thinned.select(*docs.columns))
+    row, drop, place = fresh("row", docs), fresh("drop", docs), fresh("place", docs)
+    keyed = docs.withColumn(row, F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.coalesce("text", F.lit(""))))
+    slim = keyed.select(F.col(row).alias("row"), F.col("doc_id").alias("id"), "text")
+    groups = jaccard.jaccard_join(slim.select(F.col("row").alias("doc_id"), "text"))
+    near = checkpointed(groups.filter("n_similar > 0").select(F.col("doc_id").alias("row"), F.col("component_id").alias("group")).distinct())
+    rows = checkpointed(slim.groupBy("row").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")))
+    grouped = rows.join(near, "row")
+    first = grouped.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("x"), "id", "row"))["row"].alias("first"))
+    gone = grouped.join(first, "group").filter("row <> first").select("row", F.lit(True).alias("gone"))
+    marks = checkpointed(rows.join(gone, "row", "left").filter("gone OR n > 1").select(F.col("row").alias(row), F.coalesce("gone", F.lit(False)).alias(drop)))
+    told = keyed.join(F.broadcast(marks) if marks.count() <= broadcast_rows else marks, row, "left")
+    # a repeated row comes out once; its repetitions meet in one task, by row and not by group
+    order = Window.partitionBy(row, "doc_id", "text").orderBy(F.to_json(F.struct(*docs.columns)))
+    thinned = told.filter(~F.col(drop)).withColumn(place, F.row_number().over(order)).filter(F.col(place) == 1)
+    return told.filter(F.col(drop).isNull()).select(*docs.columns).union(thinned.select(*docs.columns))
 
 
 def drop_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
