@@ -9,10 +9,14 @@ values gives the weights, so a score is one table look-up for each distinct
 bucket. Texts with no such n-gram, empty and null ones among them, score by the
 bias alone.
 
-The fit takes a bounded sample: for each label the ``per_class`` labelled rows
-with the smallest hash of doc_id. Rows with a null text, label or doc_id are
-left out; scoring covers every row and whole texts. Repeated rows score alike;
-other columns are ignored.
+The fit takes a bounded sample: for each label the ``per_class`` labelled ids
+with the smallest hash, less those with texts over ``FIT_CHARS`` code points; of
+rows that repeat an id the smallest text and the largest label count. Rows with
+a null text, label or doc_id are left out. Scoring covers every row and whole
+texts, very long ones too. Repeated rows score alike, so ties in the score are
+given out as they are. Without labels, or with one class only, the score is a
+constant. An empty table gives none. Other columns stay untouched; where the
+names of the results are taken, the caller names them otherwise.
 """
 
 from __future__ import annotations
@@ -21,10 +25,13 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spindrift.llm.common import least_ids, sample_texts
+
 PER_CLASS = 2_000
+FIT_CHARS = 20_000
 BITS = 22
 SIZES = (4, 5, 6)
 MIN_Z = 4.5
@@ -128,16 +135,19 @@ def fit(texts: list[str], labels: list[int], sizes=SIZES, bits: int = BITS, min_
 def training_sample(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS, mod: int = 5, rest: int = 0):
     """(texts, labels) of the bounded sample, the same for any partitioning."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id"), mod, rest))
-    known = known.groupBy("doc_id").agg(F.max(label).alias("y"))
-    order = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = known.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_class).select("doc_id", "y")
-    # at most per_class rows a label
-    rows = docs.filter(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(picked), "doc_id").orderBy("doc_id", "text").collect()
-    return [r.text for r in rows], [int(r.y) for r in rows]
-
-
-def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """The documents with score and predicted."""
+    known = known.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max(label).cast("int").alias("y"))
+    texts, ys = [], []
+    for y in (0, 1):
+        rows = sample_texts(docs, least_ids(known.filter(F.col("y") == y), per_class), FIT_CHARS)
+        texts += [r.text for r in rows]
+        ys += [y] * len(rows)
+    return texts, ys
+
+
+def score(docs: DataFrame, model: Model, threshold: float = 0.5, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """The documents with a score and whether it reaches the threshold, under two names that they don't have."""
+    if set(names) & set(docs.columns):
+        raise ValueError(f"the table has columns {names}")
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -146,12 +156,10 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
         for b in batches:
             s = [m.score(t.as_py(), table) for t in b.column(b.schema.get_field_index("text"))]
             cols = list(b.columns) + [pa.array(s, pa.float64()), pa.array([int(x >= threshold) for x in s], pa.int32())]
-            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names + ["score", "predicted"])
+            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names + list(names))
 
-    kept = [c for c in docs.columns if c not in ("score", "predicted")]
-    src = docs.select(*kept)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema)
-    return src.mapInArrow(run, f"{fields}, score double, predicted int")
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema)
+    return docs.mapInArrow(run, f"{fields}`{names[0]}` double, `{names[1]}` int")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, threshold: float = 0.5) -> DataFrame:
