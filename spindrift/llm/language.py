@@ -12,31 +12,36 @@ languages at once. The shortest code wins.
 Contexts that any language has seen ``MIN_CONTEXT`` times or more form the
 union of the trees; a byte's state is the longest such context that ends before
 it. Training takes the ``PER_LANGUAGE`` documents of each language with the
-smallest hash of doc_id (not held out, text and lang not null).
-
-Texts that are null or without any letter are ``und`` with score 0. Ties go to the
-language that sorts first. Without any training text every result is ``und``.
+smallest hash of doc_id (not held out, text and lang not null; fewer where there
+are so many languages that the sample would pass ``SAMPLE`` documents), less
+those over ``FIT_CHARS`` code points; of repeated ids the smallest text counts.
+
+Texts that are null, empty or without any letter (Unicode category L) are
+``und`` with score 0. Very long texts are scored whole, in blocks. Ties go to
+the language that sorts first. Repeated rows are scored alike. Without any
+training text every result is ``und``; an empty table gives none. Other columns
+are ignored by ``language_id`` and stay in ``identify``, which takes none that
+are called lang_pred or score.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spindrift.llm.common import sample_texts
 from spindrift.llm.toxicity import held_out
 
 ORDER = 3
 PER_LANGUAGE = 300
+SAMPLE = 12_000
+FIT_CHARS = 20_000
 MIN_CONTEXT = 24
 #: Bytes scored at a time.
 BLOCK = 1 << 20
 
-_LETTER = re.compile(r"[^\W\d_]")
-
 
 class ContextTrees:
     """Code lengths in bits for each (state, byte, language)."""
@@ -138,18 +143,19 @@ def train(texts: dict[str, list[str]], order: int = ORDER, min_context: int = MI
 def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict[str, list[str]]:
     """The bounded sample by language, the same for any partitioning."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 3, 1))
+    per_language = max(1, min(per_language, SAMPLE // max(1, known.agg(F.count_distinct("lang")).first()[0])))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = known.select("doc_id", "lang").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_language).select("doc_id", "lang")
-    rows = docs.filter(F.col("text").isNotNull()).select("doc_id", "lang", "text").join(F.broadcast(picked), ["doc_id", "lang"]).orderBy("doc_id", "text").collect()
+    # so small a rank is found within the map tasks first, so no language meets in one
+    picked = known.select("doc_id", "lang").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_language).select("doc_id", "lang").distinct()
     out: dict[str, list[str]] = {}
-    for r in rows:
+    for r in sample_texts(docs, picked, FIT_CHARS, "lang"):
         out.setdefault(r.lang, []).append(r.text)
     return out
 
 
 def predict(text: str | None, model: ContextTrees) -> tuple[str, float]:
     """(language, score): the score is the posterior under equal priors, at a tenth of the code length's weight."""
-    if text is None or not model.langs or not _LETTER.search(text):
+    if text is None or not model.langs or not any(map(str.isalpha, text)):
         return "und", 0.0
     bits = model.code_lengths(text)
     k = int(bits.argmin())
@@ -160,8 +166,9 @@ def predict(text: str | None, model: ContextTrees) -> tuple[str, float]:
 def identify(docs: DataFrame, model: ContextTrees) -> DataFrame:
     """The documents with lang_pred and score; only their text is looked at."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
-    src = docs.select(*[c for c in docs.columns if c not in ("lang_pred", "score")])
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema)
+    if {"lang_pred", "score"} & set(docs.columns):
+        raise ValueError("the table has a column lang_pred or score")
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema)
 
     def run(batches):
         m = shipped.value
@@ -170,7 +177,7 @@ def identify(docs: DataFrame, model: ContextTrees) -> DataFrame:
             cols = list(b.columns) + [pa.array([g for g, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())]
             yield pa.RecordBatch.from_arrays(cols, names=b.schema.names + ["lang_pred", "score"])
 
-    return src.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return docs.mapInArrow(run, f"{fields}lang_pred string, score double")
 
 
 def language_id(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
