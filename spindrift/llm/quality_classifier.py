@@ -8,24 +8,31 @@ many documents there are. The posterior labels of a bounded sample then train a
 linear scorer on hashed features: words, shapes of words and the deciles of the
 text's ratios. Every document is scored over its whole text.
 
-Null and empty texts get no useful vote but for their length and score low.
-Repeated rows count and score alike. Other columns are ignored.
+Null and empty texts get no useful vote but for their length and score low; very
+long ones are scored whole. The scorer learns from the ``SAMPLE`` ids with the
+smallest hash, less those with texts over ``FIT_CHARS`` code points; rows
+without an id are left out, and of repeated ids the smallest text counts.
+Repeated rows count in the statistics and score alike, so ties in the score are
+given out as they are. An empty table gives none. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import let, words_of
+from spindrift.llm.common import least_ids, let, sample_texts, words_of
 from spindrift.llm.quality_rules import STOP_WORDS
 
 SAMPLE = 4_000
+FIT_CHARS = 20_000
 BITS = 18
 #: Characters that mark tables, code and junk rather than prose.
 SYMBOLS = r"[^#*$%&|<>=_~^{}\[\]\\]+"
@@ -99,28 +106,39 @@ class LabelModel:
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
+_LOWER, _UPPER, _DIGIT = re.compile(r"[a-zà-öø-ÿß]+"), re.compile(r"[A-ZÀ-ÖØ-Þ]+"), re.compile(r"[0-9]+")
+
+
 def _shape(w: str) -> str:
-    w = re.sub(r"[a-zà-öø-ÿß]+", "a", w)
-    w = re.sub(r"[A-ZÀ-ÖØ-Þ]+", "A", w)
-    return re.sub(r"[0-9]+", "9", w)[:12]
+    return _DIGIT.sub("9", _UPPER.sub("A", _LOWER.sub("a", w)))[:12]
+
+
+def _keys_of(w: str, known: dict[str, tuple[str, str | None]]) -> tuple[str, str | None]:
+    """The keys of a word's shape and, for a stop word, of the word; ``known`` remembers those of short words."""
+    low = w.lower()
+    keys = "s" + _shape(w), "w" + low if low in _STOP else None
+    if len(w) <= 24:
+        if len(known) >= 200_000:
+            known.clear()
+        known[w] = keys
+    return keys
 
 
-def features(text: str | None, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+def features(text: str | None, bits: int = BITS, known: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Buckets and values: shares of word shapes and stop words, and one flag for each ratio's decile."""
     words = _WORD.findall(text or "")
+    known = {} if known is None else known
     n = max(1, len(words))
-    seen: dict[str, int] = {}
-    for w in words:
-        seen[w] = seen.get(w, 0) + 1
+    seen = Counter(words)
     share: dict[str, float] = {}
+    stop = 0
     for w, c in seen.items():
-        key = "s" + _shape(w)
-        share[key] = share.get(key, 0) + c
-        low = w.lower()
-        if low in _STOP:
-            share["w" + low] = share.get("w" + low, 0) + c
-    stop = sum(v for k, v in share.items() if k[0] == "w")
-    again = sum(a == b for a, b in zip(words, words[1:]))
+        shape, key = known.get(w) or _keys_of(w, known)
+        share[shape] = share.get(shape, 0) + c
+        if key:
+            share[key] = share.get(key, 0) + c
+            stop += c
+    again = sum(map(eq, words, words[1:]))
     flags = [f"n{min(20, int(np.log2(n)))}", f"v{int(10 * len(seen) / n)}", f"k{int(10 * min(1, stop / n))}", f"g{int(10 * again / n)}"]
     keys = [*share, *flags]
     values = [*(np.sqrt(v / n) for v in share.values()), *([1.0] * len(flags))]
@@ -169,18 +187,20 @@ def quality_classifier(docs: DataFrame, sample: int = SAMPLE, threshold: float =
     model = LabelModel(pats, np.array([counts[tuple(p)] for p in pats.tolist()], float))
     if details is not None:
         details["model"], details["names"] = model, names
-    picked = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample)
-    rows = vote_table(picked).collect()
+    ids = least_ids(docs.select(F.col("doc_id").cast("bigint").alias("doc_id")), sample, sum(counts.values()))
+    texts = sample_texts(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), ids, FIT_CHARS)
+    rows = vote_table(docs.sparkSession.createDataFrame([(r.doc_id, r.text) for r in texts], "doc_id bigint, text string")).collect()
     y = model.posterior(np.array([code(r) for r in rows], np.int64).reshape(-1, len(names))) if rows else np.zeros(0)
     weights, bias = fit_scorer([r["text"] for r in rows], y)
     shipped = docs.sparkSession.sparkContext.broadcast((weights, bias))
 
     def run(batches):
         w, b0 = shipped.value
+        known: dict = {}
         for b in batches:
             s = []
             for t in b.column(1):
-                at, v = features(t.as_py())
+                at, v = features(t.as_py(), known=known)
                 s.append(float(1 / (1 + np.exp(-(float((w[at] * v).sum()) + b0)))))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64()), pa.array([x >= threshold for x in s], pa.bool_())], names=["doc_id", "score", "kept"])
 
