@@ -12,10 +12,12 @@ is to be trusted, and a logistic regression on the votes and the kind, trained
 on the posterior labels, becomes the span classifier: one expression that
 decides about each further candidate.
 
-Offsets are code points, end exclusive. A null or empty text has no spans.
-Candidates that touch a base span, or an earlier candidate, are dropped. The
-statistics come from all rows; repeated rows count again. Other columns are
-ignored.
+Offsets are code points, end exclusive. A null or empty text has no spans; a
+very long one is searched whole, in time that grows little faster than its
+number of spans. Candidates that touch a base span, or an earlier candidate
+(by start, then end, then kind), are dropped. The statistics come from all rows;
+repeated rows count again and get equal results. An empty table gives none.
+Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import let
+from spindrift.llm.common import let, scanned
 
 # The published patterns with possessive repetition, which matches the same but
 # neither recurses nor backtracks, and with a start that a match can have.
@@ -90,7 +92,8 @@ def _base_holds(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-_SPAN = "array<struct<kind:string,start:int,end:int,value:string,left:string,right:string>>"
+_SPAN = "struct<kind:string,start:int,end:int,value:string,left:string,right:string>"
+_SORTED = "struct<start:int,end:int,kind:string,value:string,left:string,right:string>"
 
 
 def find_spans(text: Column, kind: str, pattern: str, holds=None) -> Column:
@@ -101,20 +104,33 @@ def find_spans(text: Column, kind: str, pattern: str, holds=None) -> Column:
     parts = F.struct(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)).alias("m"), F.split(text, pattern, -1).alias("g"))
 
     def place(p: Column) -> Column:
-        def step(acc: Column, k: Column) -> Column:
-            start = acc["at"] + F.length(p["g"][k])
-            end = start + F.length(p["m"][k])
-            span = F.struct(
-                F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), p["m"][k].alias("value"),
-                F.substr(p["g"][k], F.lit(-_AROUND), F.lit(_AROUND)).alias("left"), F.substr(p["g"][k + 1], F.lit(1), F.lit(_AROUND)).alias("right"),
-            )
-            more = F.concat(acc["out"], F.array(span))
-            return F.struct(end.alias("at"), (more if holds is None else F.when(holds(p["m"][k]), more).otherwise(acc["out"])).alias("out"))
+        around = lambda m, k: F.struct(
+            m.alias("value"), F.length(p["g"][k]).alias("gap"), F.substr(p["g"][k], F.lit(-_AROUND), F.lit(_AROUND)).alias("left"), F.substr(p["g"][k + 1], F.lit(1), F.lit(_AROUND)).alias("right"),
+        )
 
-        zero = F.struct(F.lit(0).alias("at"), F.from_json(F.lit("[]"), _SPAN).alias("out"))
-        return F.when(F.size(p["m"]) == 0, zero["out"]).otherwise(F.aggregate(F.sequence(F.lit(0), F.size(p["m"]) - 1), zero, step)["out"])
+        def step(at: Column, x: Column) -> tuple[Column, Column]:
+            start = at + x["gap"]
+            end = start + F.length(x["value"])
+            span = F.array(F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x["value"].alias("value"), x["left"].alias("left"), x["right"].alias("right")))
+            return end, span if holds is None else F.when(holds(x["value"]), span).otherwise(F.array().cast(f"array<{_SPAN}>"))
 
-    return let(parts, lambda p: place(p))
+        return scanned(F.transform(p["m"], around), F.lit(0), _SPAN, step)
+
+    return let(parts, place)
+
+
+def touching(base: Column, size: int = 64):
+    """A test whether a span touches one of the base spans: those sorted by start, in blocks, of which few are looked into."""
+    places = F.sort_array(F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+
+    def blocks(p: Column) -> Column:
+        part = lambda b: let(
+            F.slice(p, b * size + 1, F.lit(size)), lambda x: F.struct(x[0]["start"].alias("start"), F.array_max(F.transform(x, lambda s: s["end"])).alias("end"), x.alias("part"))
+        )
+        return F.when(F.size(p) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / size).cast("int")), part)).otherwise(F.array())
+
+    meet = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
+    return let(places, blocks), lambda found, x: F.exists(found, lambda b: meet(b, x) & F.exists(b["part"], lambda s: meet(s, x)))
 
 
 def _guard(text: Column, kind: str, extra: bool) -> Column:
@@ -133,7 +149,7 @@ def _guard(text: Column, kind: str, extra: bool) -> Column:
 def spans_of(docs: DataFrame) -> DataFrame:
     """doc_id, base and extra: the base spans that hold, and the further candidates."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    none = F.from_json(F.lit("[]"), _SPAN)
+    none = F.array().cast(f"array<{_SPAN}>")
 
     def tried(kind: str, pattern: str, extra: bool) -> Column:
         holds = None if extra else lambda m: _base_holds(kind, m)
@@ -142,16 +158,13 @@ def spans_of(docs: DataFrame) -> DataFrame:
     base = F.concat(*[tried(k, p, False) for k, p in BASE.items()])
     extra = F.concat(*[tried(k, p, True) for k, p in EXTRA.items()])
     found = docs.select("doc_id", base.alias("base"), extra.alias("extra"))
-    touch = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
-    order = lambda s: F.sort_array(F.transform(s, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), x["value"].alias("value"), x["left"].alias("left"), x["right"].alias("right"))))
-
-    def free(s: Column) -> Column:
-        start = F.struct(F.lit(0).alias("end"), F.from_json(F.lit("[]"), _SPAN.replace("kind:string,start:int,end:int", "start:int,end:int,kind:string")).alias("out"))
-        step = lambda a, x: F.when(x["start"] >= a["end"], F.struct(x["end"].alias("end"), F.concat(a["out"], F.array(x)).alias("out"))).otherwise(a)
-        return F.aggregate(s, start, step)["out"]
-
-    alone = F.filter("extra", lambda x: ~F.exists(F.col("base"), lambda b: touch(x, b)))
-    return found.select("doc_id", "base", F.when(F.size("extra") == 0, F.array()).otherwise(free(order(alone))).alias("extra"))
+    fields = _SORTED.removeprefix("struct<").removesuffix(">").split(",")
+    sort = lambda s: F.sort_array(F.transform(s, lambda x: F.struct(*[x[f.split(":")[0]].alias(f.split(":")[0]) for f in fields])))
+    free = lambda end, x: (F.greatest(end, F.when(x["start"] >= end, x["end"])), F.when(x["start"] >= end, F.array(x)).otherwise(F.array().cast(f"array<{_SORTED}>")))
+    blocks, touches = touching(F.col("base"))
+    alone = let(blocks, lambda b: F.filter("extra", lambda x: ~touches(b, x)))
+    kept = F.when(F.size("extra") == 0, F.array().cast(f"array<{_SORTED}>")).otherwise(scanned(sort(alone), F.lit(0), _SORTED, free))
+    return found.select("doc_id", "base", kept.alias("extra"))
 
 
 def votes(span: Column) -> dict[str, Column]:
@@ -287,9 +300,12 @@ def pii(docs: DataFrame) -> DataFrame:
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """The counts, the base spans' hash and all spans as strings."""
+    """The counts, the base spans' hash, all spans as strings, and how many were added."""
     rank = lambda s: F.array_position(F.array(*[F.lit(k) for k in KINDS]), s["kind"])
     sort = lambda c: F.sort_array(F.transform(c, lambda s: F.struct(rank(s).alias("r"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     text = lambda c: F.array_join(F.transform(sort(c), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    n = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("bigint").alias(f"n_{k}")
-    return found.select("doc_id", *[n(k) for k in BASE], F.sha2(text(F.col("base")), 256).alias("base_sha256"), text(F.concat("base", "added")).alias("spans"))
+    n = lambda c, k: F.size(F.filter(c, lambda s: s["kind"] == k)).cast("bigint")
+    return found.select(
+        "doc_id", *[n("base", k).alias(f"n_{k}") for k in BASE], F.sha2(text(F.col("base")), 256).alias("base_sha256"), text(F.concat("base", "added")).alias("spans"),
+        n("added", "secret").alias("n_secret"), n("added", "ssn").alias("n_ssn"), F.size("added").cast("bigint").alias("n_added"), (F.size("base") + F.size("added")).cast("bigint").alias("n_spans"),
+    )
