@@ -2,27 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.functions.text import fold, tokens
+from spindrift.checkpoints import checkpointed
+from spindrift.functions.text import col, fold, let, tokens
 
 K1, B = 1.2, 0.75
 COLUMNS = ("name", "scope", "relative_path", "content")
 
 
-def postings(units: DataFrame, columns=COLUMNS) -> DataFrame:
-    """term, unit_ix, tf over the indexed columns."""
-    words = F.flatten(F.array(*[tokens(fold(F.coalesce(F.col(c), F.lit("")))) for c in columns]))
-    return units.select("unit_ix", F.explode(words).alias("term")).groupBy("term", "unit_ix").agg(F.count(F.lit(1)).alias("tf"))
+def _words(columns) -> Column:
+    return F.flatten(F.array(*[tokens(fold(F.coalesce(F.col(c), F.lit("")))) for c in columns]))
+
+
+def _counted(words: Column) -> Column:
+    """(term, tf) of each distinct word of an array: sorted, then the lengths of the runs."""
+    last = lambda x: F.filter(F.transform(x, lambda v, i: F.struct(v.alias("term"), i.alias("i"), F.coalesce(F.get(x, i + 1) != v, F.lit(True)).alias("end"))), lambda e: e["end"])
+    runs = lambda e: F.transform(e, lambda v, i: F.struct(v["term"].alias("term"), (v["i"] - F.coalesce(F.get(e, i - 1)["i"], F.lit(-1))).cast("bigint").alias("tf")))
+    return let(F.sort_array(words), lambda x: let(last(x), runs))
+
 
+def postings(units: DataFrame, columns=COLUMNS, keys: tuple[str, ...] = ("unit_ix",)) -> DataFrame:
+    """term, unit_ix (or other keys), tf over the indexed columns; the units' keys are unique, so a row counts its own words and nothing is shuffled."""
+    return units.select(*keys, F.inline(_counted(_words(columns)))).select("term", *keys, "tf")
 
-def doc_stats(units: DataFrame, columns=COLUMNS) -> DataFrame:
+
+def doc_stats(units: DataFrame, columns=COLUMNS, keys: tuple[str, ...] = ("unit_ix",)) -> DataFrame:
     """unit_ix, len: the number of indexed tokens; no shuffle."""
     total = F.lit(0)
     for c in columns:
         total = total + F.size(tokens(fold(F.coalesce(F.col(c), F.lit("")))))
-    return units.select("unit_ix", total.cast("bigint").alias("len"))
+    return units.select(*keys, total.cast("bigint").alias("len"))
 
 
 def query_terms(query: str) -> dict[str, int]:
@@ -47,34 +60,41 @@ def bm25(units: DataFrame, query: str, limit: int, columns=COLUMNS) -> DataFrame
     terms = query_terms(query)
     if not terms:
         return units.select("unit_ix", F.lit(0.0).alias("score")).limit(0)
-    words = F.flatten(F.array(*[tokens(fold(F.coalesce(F.col(c), F.lit("")))) for c in columns]))
-    asked = F.filter(words, lambda w: w.isin(list(terms)))
-    found = units.select("unit_ix", F.explode(asked).alias("term")).groupBy("term", "unit_ix").agg(F.count(F.lit(1)).alias("tf"))
-    return bm25_index(found, doc_stats(units, columns), query, limit)
+    # one scan gives both: the asked terms' counts and the lengths, cut once with the words
+    whole = checkpointed(units.select("unit_ix", let(_words(columns), lambda w: F.struct(F.size(w).cast("bigint").alias("len"), _counted(F.filter(w, lambda x: x.isin(list(terms)))).alias("asked"))).alias("w")))
+    return bm25_index(whole.select("unit_ix", F.inline("w.asked")), whole.select("unit_ix", "w.len"), query, limit)
+
 
+def bm25_index(postings_: DataFrame, stats: DataFrame, query: str, limit: int, key: str = "unit_ix", total: tuple[int, float] | None = None) -> DataFrame:
+    """The same from an index: only the query's postings are read, and the lengths of the units that they name.
 
-def bm25_index(postings_: DataFrame, stats: DataFrame, query: str, limit: int) -> DataFrame:
-    """The same from a stored index: only the query's postings are read."""
+    ``total``: the number of units and their average length, where they're stored.
+    """
     terms = query_terms(query)
     if not terms:
-        return stats.select("unit_ix", F.lit(0.0).alias("score")).limit(0)
-    again = F.lit(0)
-    for t, k in terms.items():
-        again = F.when(F.col("term") == t, k).otherwise(again)
+        return stats.select(key, F.lit(0.0).alias("score")).limit(0)
     found = postings_.filter(F.col("term").isin(list(terms)))
-    df = found.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    total = stats.agg(F.count(F.lit(1)).alias("units"), F.avg("len").alias("avg_len"))
-    # as many rows as the query has terms, and one
-    rows = found.join(F.broadcast(df), "term").join(stats, "unit_ix").join(F.broadcast(total), F.lit(True))
-    idf = F.ln((F.col("units") - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    idf = F.when(idf <= 0, 1e-6).otherwise(idf)
-    part = again * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    return rows.groupBy("unit_ix").agg(F.sum(part).alias("score")).orderBy(F.desc("score"), "unit_ix").limit(limit)
-
-
-def lexical_list(units: DataFrame, query: str, take: int, condition=None) -> DataFrame:
-    """Ranked unit_ix: twice as many are fetched first, the filter comes after that limit."""
-    hits = bm25(units, query, 2 * take)
+    # as many rows as the query has terms
+    df = {r.term: r.n for r in found.groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if total is None:
+        row = stats.agg(F.count(F.lit(1)).alias("units"), F.avg("len").alias("avg_len")).first()
+        total = row.units, row.avg_len
+    if not df or not total[0]:
+        return stats.select(key, F.lit(0.0).alias("score")).limit(0)
+    weight = F.lit(0.0)
+    for t, n in df.items():
+        idf = math.log((total[0] - n + 0.5) / (n + 0.5))
+        weight = F.when(F.col("term") == t, terms[t] * (idf if idf > 0 else 1e-6)).otherwise(weight)
+    part = weight * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(float(total[1]))))
+    return found.join(stats.select(key, "len"), key).groupBy(key).agg(F.sum(part).alias("score")).orderBy(F.desc("score"), key).limit(limit)
+
+
+def lexical_list(units: DataFrame, query: str, take: int, condition=None, index=None) -> DataFrame:
+    """Ranked unit_ix: twice as many are fetched first, the filter comes after that limit.
+
+    ``index``: a function of (query, limit) that ranks from a stored index.
+    """
+    hits = index(query, 2 * take) if index is not None else bm25(units, query, 2 * take)
     kept = hits.join(units, "unit_ix")
     if condition is not None:
         kept = kept.filter(condition)

@@ -16,6 +16,7 @@ from spindrift.operators import filters, fusion, graph, identity, intervals, lex
 from spindrift.operators import incremental as inc
 from spindrift.plans import adapter as A
 from spindrift.plans.hybrid import hybrid_search, shape_results
+from spindrift.sources import read
 from spindrift.sources.store import envelope
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,7 +41,7 @@ def r6(c):
     return F.round(c if not isinstance(c, str) else F.col(c), 6) + F.lit(0.0)
 
 
-# -- SQL shared by the twins -----------------------------------------------------
+# SQL shared by the twins
 
 _NORM = r"trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))"
 UNITS = rf"""units AS (
@@ -77,7 +78,7 @@ bm AS (SELECT tf.unit_ix, sum(q.again * w.idf * f * 2.2 / (f + 1.2 * (0.25 + 0.7
   FROM tf JOIN q USING (term) JOIN w USING (term) JOIN idx USING (unit_ix), st GROUP BY tf.unit_ix ORDER BY score DESC, unit_ix LIMIT {limit})"""
 
 
-# -- dense retrieval -------------------------------------------------------------
+# dense retrieval
 
 _QV = "(SELECT embedding FROM embeddings WHERE vec_id = {i})"
 
@@ -151,7 +152,7 @@ def snapshot_order(spark, sf_dir):
     return ranking.order_snapshot(units).select("doc_id", F.col("unit_ix").cast("bigint").alias("unit_ix"))
 
 
-# -- identity, filters -------------------------------------------------------------
+# identity, filters
 
 _UID = "'unit:' || substr(sha256(concat_ws(chr(0), project_label, relative_path, start_byte::VARCHAR, end_byte::VARCHAR, content_hash, name, coalesce(scope, ''), language_id)), 1, 16)"
 
@@ -235,7 +236,7 @@ def representation_lookup(spark, sf_dir):
     return rows.select("unit_ix", F.size("r").cast("bigint").alias("n"), filters.representation("r", "documentation", "content_hash").alias("doc_hash"))
 
 
-# -- text ------------------------------------------------------------------------------
+# text
 
 
 @query(f"""WITH {UNITS} SELECT unit_ix, coalesce(instr(content, ' the ') > 0, false) AS has_the, CASE WHEN regexp_matches(content, '(^|[^\\p{{L}}\\p{{N}}_])the([^\\p{{L}}\\p{{N}}_]|$)')
@@ -315,7 +316,7 @@ def estimated_tokens(spark, sf_dir):
     return A.units(spark, sf_dir).select("unit_ix", T.estimated_tokens("content", 512).alias("tokens"))
 
 
-# -- lexical -----------------------------------------------------------------------------
+# lexical
 
 
 @query(f"WITH {_INDEX} SELECT term, unit_ix, count(*) AS tf FROM (SELECT unit_ix, unnest(ws) AS term FROM idx) GROUP BY ALL")
@@ -345,7 +346,7 @@ def bm25_filtered(spark, sf_dir):
     return lexical.lexical_list(A.units(spark, sf_dir), BM25_QUERY, 50, keep).select("unit_ix", r6("score").alias("score"))
 
 
-# -- fusion ------------------------------------------------------------------------------
+# fusion
 
 _LISTS = f"""l0 AS (SELECT unit_ix, row_number() OVER (ORDER BY s DESC, unit_ix) AS rank FROM (SELECT unit_ix, {_DOT.format(a="e.embedding", b=_QV.format(i=0))} AS s FROM units JOIN embeddings e ON e.vec_id = unit_ix WHERE NOT {_TEST} ORDER BY s DESC, unit_ix LIMIT 50)),
 l1 AS (SELECT unit_ix, row_number() OVER (ORDER BY s DESC, unit_ix) AS rank FROM (SELECT unit_ix, {_DOT.format(a="e.embedding", b=_QV.format(i=1))} AS s FROM units JOIN embeddings e ON e.vec_id = unit_ix WHERE NOT {_TEST} ORDER BY s DESC, unit_ix LIMIT 50)),
@@ -419,7 +420,7 @@ def result_envelope(spark, sf_dir):
     return line.agg(F.count_if(F.get_json_object("line", "$.event") == "hit").alias("lines"), F.count_distinct(F.get_json_object("line", "$.data.unit_ix")).alias("units"))
 
 
-# -- incremental indexing -----------------------------------------------------------------
+# incremental indexing
 
 _STATES = """live AS (SELECT doc_id, source AS project_label, lang || '/' || doc_id AS path, lang AS language, sha256(text) AS source_hash, (doc_id % 5)::VARCHAR AS revision FROM documents WHERE doc_id % 11 <> 0),
 seen AS (SELECT doc_id, source AS project_label, lang || '/' || doc_id AS path, lang AS language, sha256(text || CASE WHEN doc_id % 7 = 0 THEN '!' ELSE '' END) AS source_hash, (CASE WHEN doc_id % 9 = 0 THEN 99 ELSE doc_id % 5 END)::VARCHAR AS revision FROM documents WHERE doc_id % 13 <> 0),
@@ -560,7 +561,7 @@ def project_counts(spark, sf_dir):
     return u.groupBy("project_label").agg(F.count(F.lit(1)).alias("units"), F.count_distinct("language_id").alias("languages"))
 
 
-# -- intervals, usage, graph -----------------------------------------------------------------
+# intervals, usage, graph
 
 _SPANS = """spans AS (SELECT event_id AS unit_ix, user_id AS doc, (event_id * 37) % 20000 AS a, (event_id * 37) % 20000 + 50 + (event_id * 13) % 3000 AS b FROM events), pts AS (SELECT event_id AS ref_id, user_id AS doc, (event_id * 101) % 20000 AS pos FROM events WHERE event_type = 'purchase')"""
 
@@ -617,7 +618,7 @@ def relations_generation(spark, sf_dir):
     return graph.relations_of(r, 2).drop("generation")
 
 
-# -- embedding ---------------------------------------------------------------------------------
+# embedding
 
 _HASHED = rf"""{UNITS}, t AS (SELECT unit_ix, unnest(regexp_extract_all(content, '[\p{{L}}\p{{N}}]+')) AS w FROM units), hb AS (SELECT unit_ix, sha256(w) AS h FROM t),
 b AS (SELECT unit_ix, ({" + ".join(f"('0x' || substr(h, {2 * i + 1}, 2))::BIGINT * {pow(256, i, 48)}" for i in range(8))}) % 48 AS bucket FROM hb)"""
@@ -677,7 +678,7 @@ def embed_pending(spark, sf_dir):
     return E.embed_pending(_pending(spark, sf_dir).select("content_hash", "content"), lambda: E.HashBackend(32)).select("content_hash", F.size("embedding").alias("width"), r6("norm").alias("norm"))
 
 
-# -- extraction and identity -----------------------------------------------------------------------
+# extraction and identity
 
 
 @query()
@@ -700,3 +701,91 @@ def assign_identity(spark, sf_dir):
     body = F.when(i % 5 == 0, F.concat("content_hash", F.lit("x"))).otherwise(F.col("content_hash"))
     new = u.select(*base, name.alias("name"), body.alias("normalized_body_hash"))
     return identity.assign_identity(prior, new).select("doc_id", "match", "entity_id")
+
+
+# reading a generation
+
+
+def _generation(spark, sf_dir) -> dict[str, DataFrame]:
+    """A generation made of the tables: a project for each source, a file for each document, vectors by the hash of their unit's text."""
+    u = A.units(spark, sf_dir).withColumns({"doc_id": F.col("unit_ix").cast("string"), "version_id": F.concat(F.lit("v"), F.col("unit_ix").cast("string"))})
+    reps = A.representations(A.units(spark, sf_dir)).withColumns({"doc_id": F.col("unit_ix").cast("string"), "version_id": F.concat(F.lit("v"), F.col("unit_ix").cast("string"))})
+    hashed = A.vectors(spark, sf_dir).join(u.select("unit_ix", "content_hash"), "unit_ix").groupBy("content_hash").agg(F.min_by("embedding", "unit_ix").alias("embedding"))
+    stray = A.vectors(spark, sf_dir).filter("unit_ix % 50 = 0").select(F.sha2(F.col("unit_ix").cast("string"), 256).alias("content_hash"), "embedding")
+    return {
+        "projects": u.select(F.col("project_label").alias("label"), F.col("project_label").alias("locator"), F.lit(1).cast("bigint").alias("last_run_id")).distinct(),
+        "files": u.select("project_label", "doc_id", F.col("relative_path").alias("path")),
+        "units": u.drop("content", "content_hash"),
+        "representations": reps,
+        "spaces": spark.createDataFrame([("code", "implementation", "m", 64), ("docs", "documentation", "m", 64)], "space_id string, channel string, model string, dimensions int").withColumn("output_dimensions", F.lit(None).cast("int")),
+        "vectors": hashed.unionByName(stray).withColumns({"space_id": F.lit("code"), "norm": F.lit(1.0)}),
+        "relations": spark.createDataFrame([], "edge_ord bigint"),
+    }
+
+
+_HASHED = f"""{_REPS}, hashed AS (SELECT DISTINCT content_hash FROM units JOIN embeddings ON vec_id = unit_ix),
+stray AS (SELECT sha256(vec_id::VARCHAR) AS content_hash FROM embeddings WHERE vec_id % 50 = 0), vecs AS (SELECT * FROM hashed UNION ALL SELECT * FROM stray)"""
+_KIND_RANK = "CASE kind " + " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(read.REPRESENTATION_ORDER)) + " END"
+
+
+@query(f"""WITH {_REPS}, k AS (SELECT unit_ix, string_agg(kind, ',' ORDER BY {_KIND_RANK}) AS kinds, sum(strlen(content))::BIGINT AS bytes FROM reps GROUP BY unit_ix)
+SELECT u.unit_ix::VARCHAR AS doc_id, project_label AS label, (row_number() OVER (ORDER BY project_label, relative_path, start_byte, end_byte) - 1)::BIGINT AS unit_ix, kinds, bytes FROM units u JOIN k USING (unit_ix)""")
+def snapshot_read(spark, sf_dir):
+    units = read.snapshot(_generation(spark, sf_dir))["units"]
+    kinds = F.array_join(F.transform("representations", lambda r: r["kind"]), ",")
+    size = F.aggregate("representations", F.lit(0).cast("bigint"), lambda a, r: a + F.octet_length(r["content"]))
+    return units.select("doc_id", F.col("project_label").alias("label"), F.col("unit_ix").cast("bigint").alias("unit_ix"), kinds.alias("kinds"), size.alias("bytes"))
+
+
+@query(f"WITH {_HASHED} SELECT content_hash FROM vecs WHERE content_hash IN (SELECT content_hash FROM reps WHERE kind = 'implementation')")
+def snapshot_vectors_semi(spark, sf_dir):
+    return read.snapshot(_generation(spark, sf_dir), ["code"])["vectors"].select("content_hash")
+
+
+@query(f"WITH {_HASHED} SELECT 'code' AS space_id, count(*) AS pending FROM (SELECT DISTINCT content_hash FROM reps WHERE kind = 'implementation' AND content_hash NOT IN (SELECT content_hash FROM vecs)) UNION ALL SELECT 'docs', count(DISTINCT content_hash) FROM reps WHERE kind = 'documentation'")
+def pending_counts(spark, sf_dir):
+    return read.pending_counts(_generation(spark, sf_dir))
+
+
+@query(f"""WITH {_HASHED} SELECT 2::BIGINT AS spaces, (SELECT count(*) FROM vecs) AS vectors, (SELECT count(DISTINCT content_hash) FROM reps WHERE kind = 'documentation')
++ (SELECT count(DISTINCT content_hash) FROM reps WHERE kind = 'implementation' AND content_hash NOT IN (SELECT content_hash FROM vecs)) AS pending""")
+def embedding_totals(spark, sf_dir):
+    return read.embedding_totals(_generation(spark, sf_dir))
+
+
+@query(f"WITH {UNITS} SELECT project_label AS label, count(*) AS units FROM units GROUP BY project_label")
+def list_projects(spark, sf_dir):
+    return read.list_projects(_generation(spark, sf_dir)).select("label", "units")
+
+
+@query(f"WITH {UNITS} SELECT unit_ix::VARCHAR AS doc_id, row_number() OVER (ORDER BY relative_path)::BIGINT AS place FROM units WHERE project_label = 'src1'")
+def list_files(spark, sf_dir):
+    """Position in the ordered listing of one project's files."""
+    found = read.list_files(_generation(spark, sf_dir), "src1")
+    return found.select("doc_id", F.row_number().over(Window.partitionBy("project_label").orderBy("path")).cast("bigint").alias("place"))
+
+
+@query(f"WITH {UNITS} SELECT unit_ix::VARCHAR AS doc_id, relative_path AS path, kind, start_byte, end_byte FROM units WHERE project_label = 'src1'")
+def list_units(spark, sf_dir):
+    return read.units_of_project(_generation(spark, sf_dir), "src1").select("doc_id", "path", "kind", "start_byte", "end_byte")
+
+
+@query("SELECT n_name AS space_id, r_name AS name, r_regionkey::VARCHAR AS model FROM nation JOIN region ON r_regionkey = n_regionkey")
+def spaces_models(spark, sf_dir):
+    spaces = A.table(spark, sf_dir, "nation").select(F.col("n_name").alias("space_id"), F.col("n_regionkey").cast("string").alias("model"))
+    models = A.table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("string").alias("model_id"), F.col("r_name").alias("name"))
+    return read.spaces_with_models({"spaces": spaces, "models": models}).select("space_id", "name", "model")
+
+
+@query("SELECT l_linenumber::BIGINT AS line, l_partkey::VARCHAR AS caller_version, l_suppkey::VARCHAR AS callee FROM lineitem WHERE l_orderkey = (SELECT max(l_orderkey) FROM lineitem)")
+def references_of_file(spark, sf_dir):
+    li = A.table(spark, sf_dir, "lineitem")
+    last = li.agg(F.max("l_orderkey")).first()[0]
+    rows = li.select(F.lit("p").alias("project_label"), F.col("l_orderkey").cast("string").alias("doc_id"), F.col("l_linenumber").cast("bigint").alias("line"), F.col("l_partkey").cast("string").alias("caller_version"), F.col("l_suppkey").cast("string").alias("callee"))
+    return read.references_of_file({"references": rows}, "p", str(last)).select("line", "caller_version", "callee")
+
+
+@query(f"""WITH {_HASHED} SELECT unit_ix::VARCHAR AS doc_id, content_hash IN (SELECT content_hash FROM vecs) AS has_vector FROM reps WHERE kind = 'implementation'""")
+def index_of_space(spark, sf_dir):
+    found = read.index_of_space(_generation(spark, sf_dir), "code")
+    return found.select(F.substring("version_id", 2, 30).alias("doc_id"), F.col("embedding").isNotNull().alias("has_vector"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-EPOCH = 1
+EPOCH = 2
 
 PROJECTS = "label string, locator string, last_run_id bigint"
 FILES = "project_label string, doc_id string, path string, language string, source_hash string, revision string, fingerprint string"
@@ -17,6 +17,12 @@ RELATIONS = "edge_ord bigint, generation bigint, from_entity_id string, to_entit
 ENTITIES = "entity_id string, first_generation bigint, last_generation bigint"
 SPACES = "space_id string, channel string, model string, dimensions int, output_dimensions int, document_prompt string, contract string"
 EXECUTIONS = "model string, execution string, first_seen timestamp, last_seen timestamp"
+MODELS = "model_id string, name string, revision string, pooling string, dimensions int, max_length int, normalize boolean, prompts string, file_hash string, source string"
+POSTINGS = "project_label string, doc_id string, term string, version_id string, tf bigint"
+LENGTHS = "project_label string, doc_id string, version_id string, len bigint"
+USAGE = REPRESENTATIONS
+RUNS = "run_id bigint, scope string, fingerprint string, payload_version int, base_generation bigint, state string, phase string, owner string, heartbeat double, refresh_rounds int, note string"
+STAGED = "run_id bigint, project_label string, doc_id string, path string, language string, fingerprint string, action string, state string, attempts int, reused int, error string"
 ANALYSES = "run string, analysis string, space_id string, created timestamp"
 
 TABLES = {
@@ -31,6 +37,10 @@ TABLES = {
     "spaces": SPACES,
     "executions": EXECUTIONS,
     "analyses": ANALYSES,
+    "models": MODELS,
+    "postings": POSTINGS,
+    "lengths": LENGTHS,
+    "usage": USAGE,
 }
 
 #: Order of representations in a snapshot; channels are listed alphabetically instead.
