@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -89,6 +90,35 @@ def bm25_index(postings_: DataFrame, stats: DataFrame, query: str, limit: int, k
     return found.join(stats.select(key, "len"), key).groupBy(key).agg(F.sum(part).alias("score")).orderBy(F.desc("score"), key).limit(limit)
 
 
+class StoredIndex:
+    """Postings sorted by term, with filters that let a reader skip files without it, and the units' lengths.
+
+    Made at the first call and complete once its last file, the totals, is there.
+    """
+
+    def __init__(self, spark, folder: str, units: Callable[[], DataFrame], columns=COLUMNS):
+        self.spark, self.folder, self.units, self.columns = spark, folder, units, columns
+
+    def _there(self) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/totals/_SUCCESS")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+
+    def build(self) -> None:
+        units = self.units()
+        ordered = postings(units, self.columns).repartitionByRange("term").sortWithinPartitions("term")
+        ordered.write.mode("overwrite").option("parquet.bloom.filter.enabled#term", "true").parquet(f"{self.folder}/postings")
+        doc_stats(units, self.columns).write.mode("overwrite").parquet(f"{self.folder}/lengths")
+        lengths = self.spark.read.parquet(f"{self.folder}/lengths")
+        lengths.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("average")).write.mode("overwrite").parquet(f"{self.folder}/totals")
+
+    def __call__(self, query: str, limit: int) -> DataFrame:
+        if not self._there():
+            self.build()
+        read = lambda name, schema: self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
+        n, average = read("totals", "n bigint, average double").first()
+        return bm25_index(read("postings", "term string, unit_ix bigint, tf bigint"), read("lengths", "unit_ix bigint, len bigint"), query, limit, total=(n, average))
+
+
 def lexical_list(units: DataFrame, query: str, take: int, condition=None, index=None) -> DataFrame:
     """Ranked unit_ix: twice as many are fetched first, the filter comes after that limit.
 

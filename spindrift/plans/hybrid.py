@@ -27,11 +27,12 @@ def condition_of(expression: str) -> Column:
     return WhereFilter.parse(expression).with_default_tests("exclude").condition()
 
 
-def hybrid_search(units: DataFrame, limit: int, query: str = "", vectors: DataFrame | None = None, dense: list[float] | None = None, compressed: list[float] | None = None, where: str = "", edges: DataFrame | None = None, mode: str = "hybrid", k: float = K) -> DataFrame:
+def hybrid_search(units: DataFrame, limit: int, query: str = "", vectors: DataFrame | None = None, dense: list[float] | None = None, compressed: list[float] | None = None, where: str = "", edges: DataFrame | None = None, mode: str = "hybrid", k: float = K, index=None) -> DataFrame:
     """unit_ix, score, matched and contributions (``source#rank``) of the best units.
 
     dense, compressed: the query's and the compressed query's vectors. The
     neighbours of the ten best units are cut to the pool before the filter.
+    index: ranks (query, limit) from a stored lexical index; else units are scanned.
     """
     if mode not in MODES:
         raise ValueError(f"the mode is one of {', '.join(MODES)}")
@@ -44,7 +45,7 @@ def hybrid_search(units: DataFrame, limit: int, query: str = "", vectors: DataFr
         if compressed is not None:
             lists.append(ranked(search_vector(units, vectors, compressed, pool, keep), "dense-compressed", WEIGHTS["dense-compressed"], len(lists)))
     if mode != "dense":
-        lists.append(ranked(lexical_list(units, query, pool, keep), "lexical", WEIGHTS["lexical"], len(lists)))
+        lists.append(ranked(lexical_list(units, query, pool, keep, index), "lexical", WEIGHTS["lexical"], len(lists)))
     # at most three lists of the pool's length; the checkpoint keeps their scans from running twice
     lists = [checkpointed(x) for x in lists] if edges is not None else lists
     fused = fuse(lists, k)

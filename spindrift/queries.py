@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from spindrift.checkpoints import shared_folder, source_digest
 from spindrift.extract.python import extract_units
 from spindrift.functions import text as T
 from spindrift.functions import vectors as V
@@ -329,8 +330,19 @@ def doc_stats(spark, sf_dir):
     return lexical.doc_stats(A.units(spark, sf_dir))
 
 
+def stored_index(spark, sf_dir):
+    """Ranks (query, limit) from an index of the units, which is written beside the checkpoints when it's first asked for and read from then on."""
+    return lexical.StoredIndex(spark, f"{shared_folder(spark)}/lexical-{source_digest(spark, sf_dir, 'documents')}", lambda: A.units(spark, sf_dir))
+
+
 @query(f"WITH {_INDEX}, {_bm25(BM25_QUERY, 20)} SELECT unit_ix, round(score, 6) + 0.0 AS score FROM bm")
 def bm25_topk(spark, sf_dir):
+    return stored_index(spark, sf_dir)(BM25_QUERY, 20).select("unit_ix", r6("score").alias("score"))
+
+
+@query(ORACLES["bm25_topk"])
+def bm25_scan(spark, sf_dir):
+    """Without an index: one scan of all units."""
     return lexical.bm25(A.units(spark, sf_dir), BM25_QUERY, 20).select("unit_ix", r6("score").alias("score"))
 
 
@@ -343,7 +355,7 @@ def bm25_index(spark, sf_dir):
 @query(f"""WITH {_INDEX}, {_bm25(BM25_QUERY, 100)} SELECT unit_ix, round(score, 6) + 0.0 AS score FROM bm JOIN units USING (unit_ix) WHERE language_id = 'fr' AND NOT {_TEST} ORDER BY bm.score DESC, unit_ix LIMIT 50""")
 def bm25_filtered(spark, sf_dir):
     keep = filters.WhereFilter.parse("language=fr tests=exclude").condition()
-    return lexical.lexical_list(A.units(spark, sf_dir), BM25_QUERY, 50, keep).select("unit_ix", r6("score").alias("score"))
+    return lexical.lexical_list(A.units(spark, sf_dir), BM25_QUERY, 50, keep, stored_index(spark, sf_dir)).select("unit_ix", r6("score").alias("score"))
 
 
 # fusion
@@ -358,7 +370,7 @@ SELECT unit_ix, round(sum(x), 6) + 0.0 AS score, string_agg(c, ',' ORDER BY o, c
 def rrf_two_lists(spark, sf_dir):
     u, keep = A.units(spark, sf_dir), filters.WhereFilter.parse("tests=exclude").condition()
     dense = fusion.ranked(ranking.search_vector(u, A.vectors(spark, sf_dir), A.query_vector(spark, sf_dir, 0), 50, keep), "dense", 1.0, 0)
-    words = fusion.ranked(lexical.lexical_list(u, BM25_QUERY, 50, keep), "lexical", 1.0, 1)
+    words = fusion.ranked(lexical.lexical_list(u, BM25_QUERY, 50, keep, stored_index(spark, sf_dir)), "lexical", 1.0, 1)
     out = fusion.fuse([dense, words])
     parts = F.array_join(F.transform("contributions", lambda c: F.concat(c["source"], F.lit("#"), c["rank"].cast("string"))), ",")
     return out.select("unit_ix", r6("score").alias("score"), parts.alias("contributions"))
@@ -386,7 +398,7 @@ f2 AS (SELECT unit_ix, sum(x) AS score FROM (SELECT * FROM rows UNION ALL SELECT
 
 def _hybrid(spark, sf_dir):
     u = A.units(spark, sf_dir)
-    return u, hybrid_search(u, LIMIT, BM25_QUERY, A.vectors(spark, sf_dir), A.query_vector(spark, sf_dir, 0), A.query_vector(spark, sf_dir, 1), "", A.relations(spark, sf_dir))
+    return u, hybrid_search(u, LIMIT, BM25_QUERY, A.vectors(spark, sf_dir), A.query_vector(spark, sf_dir, 0), A.query_vector(spark, sf_dir, 1), "", A.relations(spark, sf_dir), index=stored_index(spark, sf_dir))
 
 
 @query(f"""WITH {_HYBRID} SELECT unit_ix, round(score, 6) + 0.0 AS score, (SELECT count(*) FROM f2) AS matched, project_label || ':' || relative_path AS location, kind, name, scope FROM f2 JOIN units USING (unit_ix) ORDER BY f2.score DESC, unit_ix LIMIT {LIMIT}""")
@@ -401,7 +413,7 @@ QUERIES["hybrid_search"], ORACLES["hybrid_search"] = QUERIES.pop("hybrid_search_
 @query(f"""WITH {_INDEX}, {_bm25(STORY, 100)} SELECT unit_ix, round(1.0 / (60 + row_number() OVER (ORDER BY score DESC, unit_ix)), 6) + 0.0 AS score FROM (SELECT unit_ix, score FROM bm JOIN units USING (unit_ix) WHERE NOT {_TEST} ORDER BY score DESC, unit_ix LIMIT 50)
 ORDER BY score DESC, unit_ix LIMIT {LIMIT}""")
 def lexical_mode(spark, sf_dir):
-    return hybrid_search(A.units(spark, sf_dir), LIMIT, STORY, mode="lexical").select("unit_ix", r6("score").alias("score"))
+    return hybrid_search(A.units(spark, sf_dir), LIMIT, STORY, mode="lexical", index=stored_index(spark, sf_dir)).select("unit_ix", r6("score").alias("score"))
 
 
 @query(f"""WITH s AS (SELECT vec_id AS unit_ix, {_DOT.format(a="embedding", b=_QV.format(i=0))} AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 50), k AS (SELECT *, row_number() OVER (ORDER BY score DESC, unit_ix) AS r FROM s)
