@@ -3,11 +3,11 @@ naive Bayes log-count ratios.
 
 A text's features are the distinct n-grams (lower-cased, white space runs as one
 space, padded by a space) present in it, hashed to ``2**bits`` buckets. Each
-feature's value is its log-count ratio r between toxic and other texts; only
-buckets whose ratio stands out from chance stay. A logistic regression on these
+feature's value is its log-count ratio r between toxic and other texts, positive
+or negative; only buckets whose ratio stands out from chance stay. A logistic regression on these
 values gives the weights, so a score is one table look-up for each distinct
 bucket. Texts with no such n-gram, empty and null ones among them, score by the
-bias alone.
+bias alone; one of them, not toxic, is among the examples (``EMPTY``).
 
 The fit takes a bounded sample: for each label the ``per_class`` labelled ids
 with the smallest hash, less those with texts over ``FIT_CHARS`` code points; of
@@ -36,6 +36,8 @@ BITS = 22
 SIZES = (4, 5, 6)
 MIN_Z = 4.5
 ALPHA = 0.5
+#: Weight of a text without any n-gram, which isn't toxic, against all the others.
+EMPTY = 0.05
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -99,11 +101,11 @@ def fit(texts: list[str], labels: list[int], sizes=SIZES, bits: int = BITS, min_
     for t, v in zip(texts, labels):
         (pos if v else neg)[distinct(ngram_buckets(t, sizes, bits), scratch)] += 1
     n1, n0 = y.sum(), len(y) - y.sum()
-    seen = np.flatnonzero(pos)
+    seen = np.flatnonzero(pos + neg)
     a, b = pos[seen].astype(np.float64), neg[seen].astype(np.float64)
     share = (a + b) / len(y)
     z = (a / n1 - b / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / n1 + 1 / n0))
-    use = seen[z >= min_z]  # what marks other texts is their topic and length, not their tone
+    use = seen[np.abs(z) >= min_z]
     if len(use) == 0:
         return Model(np.zeros(1 << bits), float(np.log(n1 / n0)), sizes, bits)
     ratio = np.log((pos[use] + alpha) / (n1 + 2 * alpha)) - np.log((neg[use] + alpha) / (n0 + 2 * alpha))
@@ -123,7 +125,8 @@ def fit(texts: list[str], labels: list[int], sizes=SIZES, bits: int = BITS, min_
     for k in range(400):
         e = (1 / (1 + np.exp(-(np.bincount(ri, val * vw[ci], len(y)) + vb))) - y) * weight
         nw = vw - (np.bincount(ci, e[ri] * val, len(use)) / len(y) + l2 / len(y) * vw) / (lip * weight.max() + l2 / len(y))
-        nb = vb - e.mean() / (0.25 * weight.max())
+        of_empty = EMPTY / (1 + np.exp(-vb))
+        nb = vb - (e.mean() + of_empty) / (0.25 * (weight.max() + EMPTY))
         m = k / (k + 3)
         vw, vb = nw + m * (nw - prev_w), nb + m * (nb - prev_b)
         prev_w, prev_b = nw, nb
