@@ -25,7 +25,7 @@ Null and empty texts are clean; null and empty items match nothing. Very long
 texts are searched whole. Repeated items are all reported; repeated documents
 each get a row. Of several occurrences of an item the one of fewest edits
 counts, of those the first band's. Without items all is clean; an empty table
-gives none. All other columns stay; the result's column takes a name that the
+gives none. All other columns stay; ``decontaminate`` works under a name that the
 table doesn't have.
 """
 
@@ -277,9 +277,8 @@ _HITS = "array<struct<item_id bigint, end_char bigint, edits int>>"
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE, block_chars: int = BLOCK_CHARS, name: str = "hits") -> DataFrame:
-    """The documents with ``name``, the items each holds (end_char in its normalised text)."""
-    if name in docs.columns:
-        raise ValueError(f"the table has a column {name}")
+    """The documents with ``name``, the items each holds (end_char in its normalised text), in place of a column of that name."""
+    docs = docs.drop(name)
     blocks = [docs.sparkSession.sparkContext.broadcast(Block(b, q, rate)) for b in _blocks(benchmark, block_chars)]
     hit_type = pa.list_(pa.struct([("item_id", pa.int64()), ("end_char", pa.int64()), ("edits", pa.int32())]))
 
