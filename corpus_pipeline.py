@@ -77,15 +77,19 @@ STAGES = [
     ("best_fit_packing", pack_sequences),
 ]
 
-#: SQL can express neither the fitted classifier nor the packing; the tests compare the near-copy stage with a brute-force version.
+#: SQL can express neither the fitted classifier nor the packing; a test compares all stages with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each one's result written to the shared folder and read again."""
+    """All stages, each one's result written to the shared folder and read again; it goes when the next one's is there."""
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
         docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        if last is not None:
+            path = spark._jvm.org.apache.hadoop.fs.Path(last)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        last = f"{folder}/{k}-{name}"
     return docs

@@ -166,7 +166,7 @@ def test_command_line(spark, tmp_path, capsys):
     assert call("status")[1][0]["data"]["spaces"] == 1 and call("runs")[1][0]["data"]["state"] == "committed"
     assert len(call("search", "--list-tasks")[1]) == 5
     (root / "a.py").write_text(ONE.replace("alpha", "beta"))
-    assert call("reindex", "p")[1][-1]["data"]["indexed"] == 1
+    assert call("reindex", "p", "--exclude", "skip.py")[1][-1]["data"]["indexed"] == 1
     assert call("remove", "p")[0] == 0 and call("list")[1] == []
     assert call("add", str(root), "--label", "again")[1][-1]["data"]["units"] >= 1
     assert call("abandon", "--run", "99")[0] == 2
