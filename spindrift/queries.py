@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spindrift.checkpoints import shared_folder, source_digest
-from spindrift.extract.python import extract_units
+from spindrift.extract.python import outline_units
 from spindrift.functions import text as T
 from spindrift.functions import vectors as V
 from spindrift.functions.ids import entity_id, location, unit_line
@@ -700,7 +700,7 @@ def extract_python(spark, sf_dir):
     names = F.transform(word, lambda w: F.concat(F.lit("f_"), w))
     body = F.transform(names, lambda n: F.concat(F.lit("def "), n, F.lit('(a, b):\n    """About '), n, F.lit('."""\n    # sum\n    total = a + b * 2\n    return print(total, sorted([a, b]))\n')))
     docs = A.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.array_join(body, "\n").alias("content"))
-    return extract_units(docs).select("doc_id", "kind", "name", "scope", "start_byte", "end_byte", "body_node_count", F.size("representations").alias("n_representations"), F.size("references").alias("n_references"))
+    return outline_units(docs).withColumns({c: F.col(c).cast("int") for c in ("n_representations", "n_references")})
 
 
 @query(f"""WITH {UNITS} SELECT unit_ix::VARCHAR AS doc_id, CASE WHEN unit_ix % 4 = 0 AND unit_ix % 5 = 0 THEN 'minted' WHEN unit_ix % 4 = 0 THEN 'body' ELSE 'key' END AS match,
