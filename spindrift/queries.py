@@ -609,10 +609,12 @@ hit AS (SELECT DISTINCT d.unit_ix, c.name || ': ' || calls.snippet AS line FROM
 @query(f"WITH {_CALLS} SELECT unit_ix, 'usage' AS kind, sha256(string_agg(line, chr(10) ORDER BY line)) AS content_hash, count(*) AS n_lines FROM hit GROUP BY unit_ix")
 def usage_lines(spark, sf_dir):
     named = A.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("unit_ix"), F.col("p_brand").alias("project_label"), F.concat_ws("_", "p_type", "p_size").alias("name"))
+    # the lines are distinct, so repeated call sites go before the joins
     li = A.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("caller_ix"), (F.col("l_partkey") % 50 + 1).alias("callee_ix"), F.concat(F.lit("call "), F.col("l_orderkey") % 5).alias("snippet"))
-    calls = li.join(named.select(F.col("unit_ix").alias("caller_ix"), "project_label"), "caller_ix").join(named.select(F.col("unit_ix").alias("callee_ix"), F.col("name").alias("callee")), "callee_ix")
-    out = usage.usage_channel(calls.select("project_label", "caller_ix", "callee", "snippet"), named)
-    return out.select("unit_ix", "kind", "content_hash", F.size(F.split("content", "\n")).cast("bigint").alias("n_lines"))
+    callees = named.select(F.col("unit_ix").alias("callee_ix"), F.col("name").alias("callee")).join(li.select("callee_ix").distinct(), "callee_ix", "left_semi")
+    calls = li.distinct().join(named.select(F.col("unit_ix").alias("caller_ix"), "project_label"), "caller_ix").join(callees, "callee_ix")
+    out = usage.usage_counted(calls.select("project_label", "caller_ix", "callee", "snippet"), named)
+    return out.select("unit_ix", F.lit("usage").alias("kind"), "content_hash", "n_lines")
 
 
 _EXPAND = "seeds(seed, seed_rank) AS (VALUES (5, 1), (9, 2), (1, 3)), edges AS (SELECT l_orderkey * 10 + l_linenumber AS edge_ord, l_partkey AS f, l_suppkey AS t FROM lineitem), near AS (SELECT t AS unit_ix, seed_rank, edge_ord FROM edges JOIN seeds ON f = seed UNION ALL SELECT f, seed_rank, edge_ord FROM edges JOIN seeds ON t = seed)"

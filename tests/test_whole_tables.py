@@ -77,3 +77,38 @@ def test_usage_lines_take_every_line_item(spark, tmp_path):
                 lines.setdefault(d, set()).add(f"{name[p]}: call {o % 5}")
     want = {(d, hashlib.sha256("\n".join(sorted(x)).encode()).hexdigest(), len(x)) for d, x in lines.items()}
     assert {(r.unit_ix, r.content_hash, r.n_lines) for r in Q.usage_lines(spark, str(tmp_path)).collect()} == want
+
+
+def test_usage_lines_of_one_name_are_made_once(spark):
+    from spindrift.operators import usage
+
+    n = 60
+    # every unit has one name and calls it; two of them share their snippet
+    units = [(i, "p", "x::f" if i % 2 else "f") for i in range(n)] + [(n, "q", "f"), (n + 1, "p", "g"), (n + 2, "p", "<anonymous>")]
+    sites = [("p", i, "f", f"f({i // 2 * 2 if i in (4, 6) else i})") for i in range(n)] + [("p", 4, "y.f", "f(6)"), ("p", n + 1, "f", None), ("p", n + 2, "g", "g()"), ("q", n, "f", "f()"), (None, 1, "f", "f"), ("p", None, "f", "f"), ("p", 999, "f", "f")]
+    references = spark.createDataFrame(sites, "project_label string, caller_ix bigint, callee string, snippet string")
+    table = spark.createDataFrame(units, "unit_ix bigint, project_label string, name string")
+    name, bare = {u: s for u, _, s in units}, {u: s.split(":")[-1].split(".")[-1] for u, _, s in units}
+    want = {}
+    for u, p, _ in units:
+        lines = {name[c] + (f": {s}" if s else "") for q, c, callee, s in sites if q == p and c in name and c != u and bare[u] == callee.split(".")[-1]}
+        if lines:
+            want[u] = "\n".join(sorted(lines))
+    assert {r.unit_ix: r.content for r in usage.usage_channel(references, table).collect()} == want
+    # what is shuffled for the texts: a line for each site, not for each site and unit
+    many = spark.createDataFrame([(i, "p", "f" if i < 2000 else f"g{i}") for i in range(4000)], "unit_ix bigint, project_label string, name string")
+    calls = spark.createDataFrame([("p", 2000 + i, "f", "f()") for i in range(2000)], "project_label string, caller_ix bigint, callee string, snippet string")
+    out = usage.usage_channel(calls, many).select("unit_ix", "content_hash")
+    assert len({(r.content_hash) for r in out.collect()}) == 1
+    assert most_rows(out) <= 4000
+
+
+def most_rows(df):
+    """The most rows that an operator of a plan that has run gave."""
+    found, todo = [0], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        p = todo.pop()
+        if p.metrics().contains("numOutputRows"):
+            found.append(p.metrics().apply("numOutputRows").value())
+        todo += [p.executedPlan()] if "AdaptiveSparkPlanExec" in p.getClass().getName() else [p.plan()] if "QueryStageExec" in p.getClass().getName() else [p.children().apply(i) for i in range(p.children().size())]
+    return max(found)
