@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import itertools
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.functions.ids import mint_entity, version_of
 
 NEW = "project_label string, doc_id string, kind string, scope string, name string, start_byte bigint, end_byte bigint, source_hash string, normalized_body_hash string"
+BATCH = 10_000
 SCHEMA = NEW + ", entity_id string, version_id string, match string"
 
 
@@ -35,24 +38,36 @@ def assign(prior: list[dict], new: list[dict]) -> list[dict]:
     return out
 
 
-def _rows(frame: pd.DataFrame) -> list[dict]:
-    return [{k: None if v is None or v != v else v for k, v in r.items()} for r in frame.sort_values(["start_byte", "end_byte"], kind="stable").to_dict("records")]
-
-
 def assign_identity(prior: DataFrame, new: DataFrame) -> DataFrame:
     """Prior units (doc_id, kind, scope, name, normalized_body_hash, entity_id, start_byte, end_byte) against new ones.
 
-    The greedy rule depends on the order, so each document is one group; a
-    document's units are few.
+    The greedy rule depends on the order, so a document's units are taken together, prior ones first, as they
+    come out of one sort of its partition; no more than one document is held besides a batch.
     """
-
     had = ["doc_id", "kind", "scope", "name", "normalized_body_hash", "entity_id", "start_byte", "end_byte"]
     has = [c.split()[0] for c in NEW.split(", ")]
+    out = [c.split()[0] for c in SCHEMA.split(", ")]
     # one table with a mark: the two sides may come from one source, whose columns a cogroup would confuse
     rows = prior.select(*had, F.lit(True).alias("is_prior")).unionByName(new.select(*has, F.lit(False).alias("is_prior")), allowMissingColumns=True)
+    fields = ["is_prior", "entity_id", *has]
+    types = [pa.int64() if t == "bigint" else pa.string() for t in (c.split()[1] for c in SCHEMA.split(", "))]
+
+    def batch(found: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in found], t) for c, t in zip(out, types)], names=out)
 
-    def run(both: pd.DataFrame) -> pd.DataFrame:
-        found = assign(_rows(both[both["is_prior"]]), [{k: r[k] for k in has} | {"start_byte": int(r["start_byte"]), "end_byte": int(r["end_byte"])} for r in _rows(both[~both["is_prior"]])])
-        return pd.DataFrame(found, columns=[c.split()[0] for c in SCHEMA.split(", ")])
+    def run(batches):
+        units = (dict(zip(fields, r)) for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+        done: list[dict] = []
+        for _, of_doc in itertools.groupby(units, key=lambda u: u["doc_id"]):
+            both: tuple[list, list] = [], []
+            for u in of_doc:
+                both[not u.pop("is_prior")].append(u)
+            done += assign(*both)
+            if len(done) >= BATCH:
+                yield batch(done)
+                done = []
+        yield batch(done)
 
-    return rows.groupBy("doc_id").applyInPandas(run, SCHEMA)
+    # the other columns only make the order total
+    ordered = rows.select(*fields).repartition("doc_id").sortWithinPartitions("doc_id", F.desc("is_prior"), F.asc_nulls_last("start_byte"), F.asc_nulls_last("end_byte"), "kind", "scope", "name", "normalized_body_hash", "entity_id", "source_hash")
+    return ordered.mapInArrow(run, SCHEMA)

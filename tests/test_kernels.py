@@ -114,6 +114,28 @@ def test_identity():
     assert identity.assign(two, [unit("c", "x")])[0]["match"] == "minted"
 
 
+def test_identity_of_many_documents(spark):
+    """Documents across and inside batches, without a call for each; names missing, ids missing, a side missing."""
+    fields = "project_label string, doc_id string, kind string, scope string, name string, start_byte bigint, end_byte bigint, source_hash string, normalized_body_hash string"
+    unit = lambda d, k, name, body: ("p", d, "function", "S" if k % 2 else None, name, k * 10, k * 10 + 5, f"s{k}", body)
+    docs = [None if d == 7 else f"d{d}" for d in range(40)]
+    old = [(*unit(d, k, f"n{k}", f"b{k % 3}"), f"e{d}-{k}") for i, d in enumerate(docs) for k in range(i % 6) if i != 5]
+    new = [unit(d, k, f"n{k}" if k % 2 else f"m{k}", f"b{k % 4}") for i, d in enumerate(docs) for k in range(i % 5) if d]
+    names = [c.split()[0] for c in fields.split(", ")]
+    want = set()
+    for d in set(docs):
+        at = lambda rows, n: [dict(zip(n, r)) for r in sorted(rows, key=lambda r: r[5]) if r[1] == d]
+        want |= {(r["doc_id"], r["start_byte"], r["entity_id"], r["version_id"], r["match"]) for r in identity.assign(at(old, [*names, "entity_id"]), at(new, names))}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = identity.assign_identity(spark.createDataFrame(old, fields + ", entity_id string"), spark.createDataFrame(new, fields))
+        rows = out.collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(rows) == len(new) and {(r.doc_id, r.start_byte, r.entity_id, r.version_id, r.match) for r in rows} == want
+    assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_intervals(spark):
     units = spark.createDataFrame([(1, "d", 0, 9000), (2, "d", 4000, 4200), (3, "d", 4000, 4100), (4, "e", 0, 9)], "unit_ix int, doc string, start int, end int")
     points = spark.createDataFrame([(1, "d", 4050), (2, "d", 4150), (3, "d", 8999), (4, "d", 9000)], "ref_id int, doc string, pos int")
