@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from typing import Protocol
@@ -9,11 +10,11 @@ from typing import Protocol
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.functions.text import col, let
-from spindrift.functions.vectors import hash_bucket, normalize
+from spindrift.functions.text import col
 
 BATCH_ITEMS, BATCH_CHARS, BATCH_AREA, PAGE, BODY_CAP = 256, 200_000, 16_000_000, 512, 10_000
 
@@ -105,20 +106,42 @@ def hash_contract(dimensions: int) -> Contract:
     return Contract(f"token-hash-{dimensions}", dimensions)
 
 
+#: Distinct tokens whose buckets a task remembers.
+KNOWN_TOKENS = 500_000
+
+
 def hash_embed(df: DataFrame, text: str, dimensions: int, key: str = "unit_ix", normalized: bool = True) -> DataFrame:
-    """key and embedding: counts of hashed tokens, without a model and inside the engine.
+    """key and embedding: counts of hashed tokens, without a model.
 
-    Each row's tokens are hashed and sorted in place, so nothing is shuffled, and
-    a row's work grows with its tokens and the width, not with their product: the
-    sorted buckets, with one of each width in between, are cut into runs.
+    The tokens are cut inside the engine. A batch's distinct tokens are hashed once, and its rows' counts are one
+    bincount, so the work grows with the tokens; nothing is shuffled.
     """
-    found = F.transform(F.regexp_extract_all(F.col(text), F.lit(_HASH_TOKEN), F.lit(0)), lambda t: hash_bucket(t, dimensions).cast("int"))
-    every = F.sequence(F.lit(0), F.lit(dimensions - 1))
-    # with each bucket once more, bucket i's run ends at the i-th change; its length less one is the count
-    ends = lambda x: F.filter(F.transform(x, lambda v, i: F.when(F.coalesce(F.get(x, i + 1) != v, F.lit(True)), i)), lambda e: e.isNotNull())
-    runs = lambda e: F.transform(e, lambda v, i: (v - F.coalesce(F.get(e, i - 1), F.lit(-1)) - 1).cast("float"))
-    out = df.select(key, let(F.sort_array(F.concat(F.coalesce(found, F.array().cast("array<int>")), every)), lambda x: let(ends(x), runs)).alias("embedding"))
-    return out.withColumn("embedding", let(F.col("embedding"), lambda v: normalize(v))) if normalized else out
+
+    def run(batches):
+        known: dict[str, int] = {}
+        for b in batches:
+            # a cell of the counts for each row and bucket: rows are taken as the width allows
+            for at in range(0, b.num_rows, step := max(1, (1 << 22) // dimensions)):
+                part = b.slice(at, step)
+                lists, n = part.column(1), part.num_rows
+                words = lists.flatten().dictionary_encode()
+                if len(known) > KNOWN_TOKENS:
+                    known.clear()
+                distinct = words.dictionary.to_pylist()
+                for w in distinct:
+                    if w not in known:
+                        known[w] = int.from_bytes(hashlib.sha256(w.encode()).digest()[:8], "little") % dimensions
+                bucket = np.fromiter((known[w] for w in distinct), np.int64, len(distinct))[words.indices.to_numpy()]
+                row = np.repeat(np.arange(n), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+                v = np.bincount(row * dimensions + bucket, minlength=n * dimensions).reshape(n, dimensions)
+                if normalized:
+                    norm = np.sqrt((v.astype(np.float64) ** 2).sum(1, keepdims=True))
+                    v = v / np.where(norm > 0, norm, 1)
+                vectors = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * np.int32(dimensions)), pa.array(v.astype(np.float32).ravel()))
+                yield pa.RecordBatch.from_arrays([part.column(0), vectors], names=[key, "embedding"])
+
+    found = df.select(key, F.regexp_extract_all(F.col(text), F.lit(_HASH_TOKEN), F.lit(0)).alias("words"))
+    return found.mapInArrow(run, f"`{key}` {found.schema[key].dataType.simpleString()}, embedding array<float>")
 
 
 class HashBackend:

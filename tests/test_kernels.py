@@ -1,7 +1,9 @@
 """Kernels on tiny inputs: the results that the engine promises."""
 
+import hashlib
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,6 +138,23 @@ def test_identity_of_many_documents(spark):
     assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()
 
 
+def test_hash_embed_hashes_a_token_once(spark):
+    texts = {1: "a bb a_bb, ccc 12 é", 2: None, 3: "", 4: "कि कि x\u0301y Ⅷ ②", 5: " ".join(f"w{i % 90}" for i in range(5000)), 6: "a " * 3000}
+    df = spark.createDataFrame(list(texts.items()), "unit_ix bigint, content string")
+    words = {r.unit_ix: r.w or [] for r in df.selectExpr("unit_ix", r"regexp_extract_all(content, '[\\p{IsAlphabetic}\\p{N}]+', 0) AS w").collect()}
+    for d in (5, 48):
+        counts = {}
+        for u, ws in words.items():
+            counts[u] = np.zeros(d)
+            for w in ws:
+                counts[u][int.from_bytes(hashlib.sha256(w.encode()).digest()[:8], "little") % d] += 1
+        raw = E.hash_embed(df, "content", d, normalized=False)
+        assert {r.unit_ix: r.embedding for r in raw.collect()} == {u: c.tolist() for u, c in counts.items()}
+        unit = {u: (c / (np.sqrt((c**2).sum()) or 1)).astype(np.float32).tolist() for u, c in counts.items()}
+        assert {r.unit_ix: r.embedding for r in E.hash_embed(df, "content", d).collect()} == unit
+    assert "sha2(" not in raw._jdf.queryExecution().executedPlan().toString()
+
+
 def test_intervals(spark):
     units = spark.createDataFrame([(1, "d", 0, 9000), (2, "d", 4000, 4200), (3, "d", 4000, 4100), (4, "e", 0, 9)], "unit_ix int, doc string, start int, end int")
     points = spark.createDataFrame([(1, "d", 4050), (2, "d", 4150), (3, "d", 8999), (4, "d", 9000)], "ref_id int, doc string, pos int")
