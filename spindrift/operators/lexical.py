@@ -8,7 +8,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.checkpoints import checkpointed
 from spindrift.functions.text import col, fold, let, tokens
 
 K1, B = 1.2, 0.75
@@ -55,15 +54,36 @@ def query_terms(query: str) -> dict[str, int]:
 def bm25(units: DataFrame, query: str, limit: int, columns=COLUMNS) -> DataFrame:
     """unit_ix, score of the best units; N and the average length are those of all units.
 
-    The scan keeps only the query's terms of each unit, so what is shuffled is at
-    most one row for each matching unit and term.
+    Two scans without a shuffle: one counts the units, their words and those that have each asked term, which is one
+    row; the other scores each unit by itself and keeps a bounded heap in every task.
     """
     terms = query_terms(query)
+    none = units.select("unit_ix", F.lit(0.0).alias("score")).limit(0)
     if not terms:
-        return units.select("unit_ix", F.lit(0.0).alias("score")).limit(0)
-    # one scan gives both: the asked terms' counts and the lengths, cut once with the words
-    whole = checkpointed(units.select("unit_ix", let(_words(columns), lambda w: F.struct(F.size(w).cast("bigint").alias("len"), _counted(F.filter(w, lambda x: x.isin(list(terms)))).alias("asked"))).alias("w")))
-    return bm25_index(whole.select("unit_ix", F.inline("w.asked")), whole.select("unit_ix", "w.len"), query, limit)
+        return none
+    asked = let(_words(columns), lambda w: F.struct(F.size(w).cast("bigint").alias("len"), _counted(F.filter(w, lambda x: x.isin(list(terms)))).alias("asked")))
+    whole = units.select("unit_ix", asked.alias("w"))
+    has = [F.count_if(F.array_contains("w.asked.term", t)).alias(f"n{i}") for i, t in enumerate(terms)]
+    row = whole.agg(F.count(F.lit(1)).alias("units"), F.avg("w.len").alias("avg_len"), *has).first()
+    df = {t: n for i, t in enumerate(terms) if (n := row[f"n{i}"])}
+    if not df:
+        return none
+    part = _part(terms, df, (row.units, row.avg_len))
+    score = F.aggregate("w.asked", F.lit(0.0), lambda a, x: a + part(x["term"], x["tf"], F.col("w.len")))
+    return whole.filter(F.size("w.asked") > 0).select("unit_ix", score.alias("score")).orderBy(F.desc("score"), "unit_ix").limit(limit)
+
+
+def _part(terms: dict[str, int], df: dict[str, int], total: tuple[int, float]):
+    """A term's part of a unit's score, of the term, how often it stands there and the unit's length."""
+
+    def part(term: Column, tf: Column, length: Column) -> Column:
+        weight = F.lit(0.0)
+        for t, n in df.items():
+            idf = math.log((total[0] - n + 0.5) / (n + 0.5))
+            weight = F.when(term == t, terms[t] * (idf if idf > 0 else 1e-6)).otherwise(weight)
+        return weight * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.lit(float(total[1]))))
+
+    return part
 
 
 def bm25_index(postings_: DataFrame, stats: DataFrame, query: str, limit: int, key: str = "unit_ix", total: tuple[int, float] | None = None) -> DataFrame:
@@ -82,18 +102,15 @@ def bm25_index(postings_: DataFrame, stats: DataFrame, query: str, limit: int, k
         total = row.units, row.avg_len
     if not df or not total[0]:
         return stats.select(key, F.lit(0.0).alias("score")).limit(0)
-    weight = F.lit(0.0)
-    for t, n in df.items():
-        idf = math.log((total[0] - n + 0.5) / (n + 0.5))
-        weight = F.when(F.col("term") == t, terms[t] * (idf if idf > 0 else 1e-6)).otherwise(weight)
-    part = weight * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(float(total[1]))))
+    part = _part(terms, df, total)(F.col("term"), F.col("tf"), F.col("len"))
     return found.join(stats.select(key, "len"), key).groupBy(key).agg(F.sum(part).alias("score")).orderBy(F.desc("score"), key).limit(limit)
 
 
 class StoredIndex:
     """Postings sorted by term, with filters that let a reader skip files without it, and the units' lengths.
 
-    Made at the first call and complete once its last file, the totals, is there.
+    Made by ``build`` and complete once its last file, the totals, is there; a call before that scans the units, for
+    one query is answered by far less work than an index takes.
     """
 
     def __init__(self, spark, folder: str, units: Callable[[], DataFrame], columns=COLUMNS):
@@ -113,7 +130,7 @@ class StoredIndex:
 
     def __call__(self, query: str, limit: int) -> DataFrame:
         if not self._there():
-            self.build()
+            return bm25(self.units(), query, limit, self.columns)
         read = lambda name, schema: self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
         n, average = read("totals", "n bigint, average double").first()
         return bm25_index(read("postings", "term string, unit_ix bigint, tf bigint"), read("lengths", "unit_ix bigint, len bigint"), query, limit, total=(n, average))

@@ -331,7 +331,7 @@ def doc_stats(spark, sf_dir):
 
 
 def stored_index(spark, sf_dir):
-    """Ranks (query, limit) from an index of the units, which is written beside the checkpoints when it's first asked for and read from then on."""
+    """Ranks (query, limit) from an index of the units where ``build`` has written it beside the checkpoints, else by a scan."""
     return lexical.StoredIndex(spark, f"{shared_folder(spark)}/lexical-{source_digest(spark, sf_dir, 'documents')}", lambda: A.units(spark, sf_dir))
 
 

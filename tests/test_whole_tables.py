@@ -103,6 +103,23 @@ def test_usage_lines_of_one_name_are_made_once(spark):
     assert most_rows(out) <= 4000
 
 
+def test_bm25_topk_needs_no_index(spark, tmp_path):
+    import os
+
+    from spindrift.checkpoints import shared_folder
+
+    documents(spark, tmp_path, {1: "the thing", 2: "The thing, ciónar", 3: "the the entre", 4: "", 5: "nothing here", 6: "the thing"})
+    folder = shared_folder(spark).removeprefix("file:")
+    had = {x for x in os.listdir(folder) if x.startswith("lexical-")}
+    scan = [tuple(r) for r in Q.bm25_topk(spark, str(tmp_path)).collect()]
+    assert {x for x in os.listdir(folder) if x.startswith("lexical-")} == had
+    assert [u for u, _ in scan][:3] and scan == [tuple(r) for r in Q.bm25_index(spark, str(tmp_path)).collect()]
+    index = Q.stored_index(spark, str(tmp_path))
+    index.build()
+    index.units = None  # it is read now
+    assert [(r.unit_ix, round(r.score, 6)) for r in index(Q.BM25_QUERY, 20).collect()] == scan
+
+
 def most_rows(df):
     """The most rows that an operator of a plan that has run gave."""
     found, todo = [0], [df._jdf.queryExecution().executedPlan()]
